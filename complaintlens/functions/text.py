@@ -37,7 +37,7 @@ BOILERPLATE_PATTERNS = [
     r"i\s+would\s+like\s+to\s+file\s+a\s+complaint[^.]*\.",
 ]
 REDACTION_PATTERN = r"x{2,}(?:/x{2,}){0,2}"
-KEPT_CHARACTERS = r"a-z0-9.,!?'"
+KEPT_CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789.,!?'"
 
 
 def strip(text: Column) -> Column:
@@ -51,24 +51,32 @@ def has_text(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Number of white-space separated tokens; 0 for blank text, null for null."""
-    return F.regexp_count(text, F.lit(f"[^{WHITESPACE_CLASS}]+"))
+    """Number of white-space separated tokens; 0 for blank text, null for null.
+
+    All white space becomes blanks, and the split is at a literal blank: several times faster
+    than matching words with a regular expression.
+    """
+    return clean_word_count(F.translate(text, WHITESPACE, " " * len(WHITESPACE)))
 
 
 def clean_word_count(cleaned: Column) -> Column:
-    """``word_count`` for the output of ``clean_narrative``, where single blanks part the words."""
-    blanks = F.length(cleaned) - F.length(F.replace(cleaned, F.lit(" "), F.lit("")))
-    return F.when(cleaned == "", F.lit(0)).otherwise(blanks + 1)
+    """``word_count`` for text with no white space but blanks, as ``clean_narrative`` gives it."""
+    return F.array_size(F.array_remove(F.split(cleaned, " "), ""))
 
 
 def clean_narrative(text: Column) -> Column:
     """Lower case, boilerplate and redaction marks out, other characters and white space to one blank.
 
     Characters outside the kept set and white space are replaced in one pass: a run of
-    either, in any mix, ends as a single blank. The boilerplate expression is tried only on
-    texts with one of the two words that every phrase contains.
+    either, in any mix, ends as a single blank. The kept characters are listed one by one,
+    which the expression engine turns into a table look-up. The boilerplate expression is tried
+    only on texts with one of the two words that every phrase contains.
     """
-    low = F.lower(text)
+    return clean_lowered(F.lower(text))
+
+
+def clean_lowered(low: Column) -> Column:
+    """``clean_narrative`` for text already in lower case."""
     may_match = low.contains("complaint") | low.contains("concern")
     plain = F.when(
         may_match, F.regexp_replace(low, "|".join(BOILERPLATE_PATTERNS), " ")

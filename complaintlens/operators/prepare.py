@@ -35,11 +35,15 @@ def filter_with_text(df: DataFrame, text: str = "narrative") -> DataFrame:
 
 
 def with_clean_narrative(df: DataFrame, text: str = "narrative") -> DataFrame:
-    """Adds ``clean_narrative`` and ``clean_word_count``."""
-    cleaned = df.withColumn("clean_narrative", T.clean_narrative(F.col(text)))
-    return cleaned.withColumn(
-        "clean_word_count", T.clean_word_count(F.col("clean_narrative")).cast("int")
-    )
+    """Adds ``clean_narrative`` and ``clean_word_count``.
+
+    The cleaned text comes out of a one-element ``inline``. A filter on it then stays above,
+    where pushing it into the scan would clean every text once for the filter and again for
+    the output.
+    """
+    once = F.inline(F.array(F.struct(T.clean_lowered(F.col("_low")).alias("clean_narrative"))))
+    cleaned = df.withColumn("_low", F.lower(text)).select("*", once).drop("_low")
+    return cleaned.withColumn("clean_word_count", T.clean_word_count(F.col("clean_narrative")))
 
 
 def filter_min_words(df: DataFrame, least: int = MIN_CLEAN_WORDS) -> DataFrame:

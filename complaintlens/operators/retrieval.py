@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from complaintlens.functions.vectors import cosine
-from complaintlens.session import broadcast_if_small, local_if_small
+from complaintlens.session import local_if_small
 
 DEFAULT_K = 5
 MAX_QUESTION_BYTES = 32 * 1024 * 1024
@@ -85,12 +85,14 @@ def _ranked(candidates: DataFrame, question_id: str, key: str, k: int) -> DataFr
 
 
 def top_k_single(
-    vectors: DataFrame, question, key: str = "chunk_id", vector: str = "embedding", k: int = DEFAULT_K
+    vectors: DataFrame,
+    question: Sequence[float],
+    key: str = "chunk_id",
+    vector: str = "embedding",
+    k: int = DEFAULT_K,
 ) -> DataFrame:
-    """Best k rows for one question vector (a column expression or a list of numbers)."""
-    if not hasattr(question, "cast"):
-        question = F.lit([float(x) for x in question])
-    score = F.round(cosine(F.col(vector), question), SCORE_DIGITS)
+    """Best k rows for one question vector: key, score."""
+    score = F.round(cosine(F.col(vector), F.lit([float(x) for x in question])), SCORE_DIGITS)
     return vectors.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 

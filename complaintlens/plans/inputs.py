@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from complaintlens.functions import text as T
 from complaintlens.operators.prepare import prepare_complaints
+from complaintlens.session import spread
 
 COMPLAINTS_SQL = """
 SELECT d.doc_id AS complaint_id,
@@ -42,7 +43,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def complaints(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql(
         COMPLAINTS_SQL,
-        documents=table(spark, folder, "documents"),
+        documents=spread(table(spark, folder, "documents"), "doc_id"),
         nation=table(spark, folder, "nation"),
     )
 

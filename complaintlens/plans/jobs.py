@@ -13,6 +13,7 @@ from complaintlens.operators.prompts import GeneratorFactory, answer_questions,
 from complaintlens.operators.retrieval import attach_metadata, retrieve
 from complaintlens.operators.sampling import stratified_sample
 from complaintlens.options import JobOptions
+from complaintlens.session import written_once
 from complaintlens.sources.columns import (
     chunk_metadata_columns,
     id_column_fallback,
@@ -57,9 +58,9 @@ def embed_questions(
 def find_sources(
     index: DataFrame, questions: DataFrame, options: JobOptions = JobOptions(), key: str = "chunk_id"
 ) -> DataFrame:
-    """The best rows of the index per question, with their metadata."""
+    """The best rows of the index per question, with their metadata, as a small stored table."""
     hits = retrieve(index, questions, options.top_k, options.vector_width, key)
-    return attach_metadata(hits, index.drop("embedding"), key)
+    return written_once(attach_metadata(hits, index.drop("embedding"), key), "sources")
 
 
 def answer(

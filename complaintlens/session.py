@@ -66,3 +66,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     """
     small = local_if_small(df, max_rows)
     return df if small is None else F.broadcast(small)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores if it comes in fewer partitions, as from a few small files.
+
+    For work that is heavy per row. A large input has partitions enough and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+def written_once(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared scratch folder and read back.
+
+    For a result that several later steps read: it is computed once, and survives the loss of
+    executors.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

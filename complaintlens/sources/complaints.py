@@ -20,7 +20,13 @@ CLEAN_COLUMNS = (
     "date_received", "narrative", "clean_narrative", "clean_word_count",
 )
 
-_CSV = {"header": "true", "quote": '"', "escape": '"'}
+_CSV = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def read_complaints_csv(
