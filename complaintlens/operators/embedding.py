@@ -69,12 +69,14 @@ def embed(
     def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embedder = factory()
         for texts in parts:
-            known = texts.dropna()
-            found: list[np.ndarray] = []
+            found: list[np.ndarray | None] = [None] * len(texts)
+            known = np.flatnonzero(texts.notna())
             for start in range(0, len(known), batch):
-                block = np.asarray(embedder.embed(known.iloc[start : start + batch].tolist()))
-                found.extend(_unit_rows(block.astype("float64")).astype("float32"))
-            yield pd.Series(found, index=known.index, dtype=object).reindex(texts.index)
+                places = known[start : start + batch]
+                block = np.asarray(embedder.embed(texts.iloc[places].tolist()), dtype="float64")
+                for place, vector in zip(places, _unit_rows(block).astype("float32")):
+                    found[place] = vector
+            yield pd.Series(found, dtype=object)
 
     return df.withColumn(output, vectors(F.col(text_col)))
 

@@ -108,7 +108,7 @@ def word_count_stats(df: DataFrame, text: str = "narrative") -> DataFrame:
     count = F.col("n_texts")
     variance = F.try_divide(F.col("s2") - F.try_divide(F.col("s1") * F.col("s1"), count), count - 1)
     return sums.select(
-        "n_texts",
+        F.coalesce(count, F.lit(0)).alias("n_texts"),
         F.try_divide(F.col("s1"), count).alias("mean_words"),
         F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std_words"),
         "min_words",
