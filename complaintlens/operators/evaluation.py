@@ -85,9 +85,9 @@ def eval_markdown(table: DataFrame, order: str = "question_id") -> DataFrame:
 
 
 def write_eval_markdown(table: DataFrame, path: str, order: str = "question_id") -> None:
-    """Title and table as one text file. It has one line per question, hence one task."""
+    """Title and table as text, in the order of the file names; a small table is one file."""
     title = table.sparkSession.createDataFrame(
         [(-4, TITLE), (-3, "")], "line_no long, value string"
     )
     lines = title.unionByName(eval_markdown(table, order))
-    lines.coalesce(1).sortWithinPartitions("line_no").select("value").write.mode("overwrite").text(path)
+    lines.orderBy("line_no").select("value").write.mode("overwrite").text(path)

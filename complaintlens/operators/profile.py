@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from complaintlens.functions import text as T
 from complaintlens.operators.prepare import MIN_CLEAN_WORDS, kept_flag
+from complaintlens.session import settled
 
 # A narrative under this many words is short, one over this percentile long.
 SHORT_WORDS = 5
@@ -38,19 +39,19 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
     """``value_counts`` with each value's share of the non-null rows."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    # A second, global aggregate of the counted groups, not a frame over all of them.
-    total = counts.agg(F.sum("n").alias("total")).scalar()
+    counts, _ = settled(
+        df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")),
+        "value-counts",
+    )
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("share", F.col("n") / total).orderBy(F.desc("n"), column)
 
 
 def mapped_counts(df: DataFrame, category: str = "product_category") -> DataFrame:
     """Rows per mapped category; the unmapped ones under a null category, 0 included."""
-    unmapped = df.agg(F.count_if(F.col(category).isNull()).alias("n")).select(
-        F.lit(None).cast("string").alias(category), "n"
-    )
-    mapped = df.filter(F.col(category).isNotNull()).groupBy(category).agg(F.count(F.lit(1)).alias("n"))
-    return mapped.unionByName(unmapped)
+    counts = df.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
+    none = df.sparkSession.createDataFrame([(None, 0)], counts.schema)
+    return counts.unionAll(none).groupBy(category).agg(F.sum("n").alias("n"))
 
 
 def _per_column(df: DataFrame, measure, name: str) -> DataFrame:

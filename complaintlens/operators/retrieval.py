@@ -33,6 +33,7 @@ MAX_QUESTION_BYTES = 32 * 1024 * 1024
 BLOCK_VECTORS = 100_000
 BLOCK_QUESTIONS = 2_000
 SCORE_DIGITS = 12
+MAX_SCORES = 8_000_000
 
 
 def matrix_of(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -62,6 +63,12 @@ class BestHits:
         self.hits = pd.DataFrame({"q": np.array([], "int64"), "score": [], "id": []})
 
     def add(self, ids: pa.Array, vectors: np.ndarray) -> None:
+        """Takes in a batch, in blocks whose scores fit ``MAX_SCORES``."""
+        rows = max(1, MAX_SCORES // max(1, len(self.questions)))
+        for start in range(0, len(vectors), rows):
+            self._add_block(ids.slice(start, rows), vectors[start : start + rows])
+
+    def _add_block(self, ids: pa.Array, vectors: np.ndarray) -> None:
         scores = np.round(vectors @ self.questions.T, SCORE_DIGITS) + 0.0  # no negative zero
         if len(scores) > self.k:
             kth = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]

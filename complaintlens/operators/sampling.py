@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from complaintlens.functions.text import round_even
-from complaintlens.session import broadcast_if_small
+from complaintlens.session import settled
 
 DEFAULT_SLICES = 1024
 _HASH_RANGE = 2**32
@@ -29,10 +29,9 @@ def _require(df: DataFrame, column: str) -> None:
         raise ValueError(f"no column {column!r} to stratify by; found {df.columns}")
 
 
-def _with_targets(counts: DataFrame, target_n: int) -> DataFrame:
+def _with_targets(counts: DataFrame, total: Column, target_n: int) -> DataFrame:
     """Adds ``share`` and ``target`` to one row per category with its count ``n``."""
-    # The frame holds one row per category.
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))
+    share = F.col("n") / total
     wanted = round_even(share * float(target_n)).cast("long")
     return counts.withColumn("share", share).withColumn("target", F.least(wanted, F.col("n")))
 
@@ -40,12 +39,13 @@ def _with_targets(counts: DataFrame, target_n: int) -> DataFrame:
 def stratified_targets(df: DataFrame, strat_col: str, target_n: int) -> DataFrame:
     """Rows to draw per non-null category: its share of ``target_n``, at most all it has."""
     _require(df, strat_col)
-    counts = (
+    counts, _ = settled(
         df.filter(F.col(strat_col).isNotNull())
         .groupBy(strat_col)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n")),
+        "strata",
     )
-    return _with_targets(counts, target_n)
+    return _with_targets(counts, counts.agg(F.sum("n")).scalar(), target_n)
 
 
 def stratified_sample(
@@ -60,43 +60,36 @@ def stratified_sample(
     """About ``target_n`` rows without replacement, in the proportions of ``strat_col``.
 
     ``key`` identifies a row. With ``shuffle`` the sample comes in an order that the seed
-    determines. All targets 0 give an empty frame.
+    determines. All targets 0 give an empty frame. ``df`` is read twice, first for its key
+    and category only, so it should be a stored table.
     """
     _require(df, strat_col)
+    leading = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double")
     hashed = (
         df.filter(F.col(strat_col).isNotNull())
         .withColumn("_hash", sample_hash(F.col(key), seed))
-        .withColumn(
-            "_slice",
-            # The leading 32 bits of the hash, scaled: slices follow the order of the hash.
-            F.floor(
-                F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double") * slices / _HASH_RANGE
-            ).cast("int"),
-        )
-    )
-    per_slice = hashed.groupBy(strat_col, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-    # Frames over counted slices: at most ``slices`` rows per category.
-    category = Window.partitionBy(strat_col)
-    before = F.sum("_rows").over(
-        category.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        # The leading 32 bits of the hash, scaled: slices follow the order of the hash.
+        .withColumn("_slice", F.floor(leading * slices / _HASH_RANGE).cast("int"))
     )
-    counted = per_slice.select(
-        strat_col,
-        "_slice",
-        "_rows",
-        F.coalesce(before, F.lit(0)).alias("_before"),
-        F.sum("_rows").over(category).alias("n"),
+    per_slice, small = settled(
+        hashed.groupBy(strat_col, "_slice").agg(F.count(F.lit(1)).alias("_rows")), "slices"
     )
     targets = _with_targets(
-        per_slice.groupBy(strat_col).agg(F.sum("_rows").alias("n")), target_n
+        per_slice.groupBy(strat_col).agg(F.sum("_rows").alias("n")),
+        per_slice.agg(F.sum("_rows")).scalar(),
+        target_n,
     ).select(strat_col, "target")
-    quota = F.least(F.col("_rows"), F.col("target") - F.col("_before"))
+    # A frame holds the counted slices of a category, at most ``slices`` rows.
+    so_far = Window.partitionBy(strat_col).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_slice.withColumn("_before", F.coalesce(F.sum("_rows").over(so_far), F.lit(0)))
     quotas = (
-        counted.join(targets, strat_col)
-        .select(strat_col, "_slice", quota.alias("_quota"))
+        before.join(targets, strat_col)
+        .select(
+            strat_col, "_slice", F.least("_rows", F.col("target") - F.col("_before")).alias("_quota")
+        )
         .filter(F.col("_quota") > 0)
     )
-    chosen = hashed.join(broadcast_if_small(quotas), [strat_col, "_slice"])
+    chosen = hashed.join(F.broadcast(quotas) if small else quotas, [strat_col, "_slice"])
     # Slices are of even size, so these frames are too, also where one category has most rows.
     in_slice = Window.partitionBy(strat_col, "_slice").orderBy("_hash", key)
     sample = chosen.withColumn("_rank", F.row_number().over(in_slice)).filter(
@@ -117,16 +110,18 @@ def sampling_summary(original: DataFrame, sample: DataFrame, strat_col: str) ->
             .agg(F.count(F.lit(1)).alias(name))
         )
 
-    both = counted(original, "original_n").join(counted(sample, "sample_n"), strat_col, "full_outer")
-    every = Window.partitionBy(F.lit(0))
-
-    def percent(name: str) -> Column:
-        return round_even(F.col(name) / F.sum(name).over(every) * 100.0, 2)
-
+    # One row per category from here on.
+    both, _ = settled(
+        counted(original, "original_n").join(counted(sample, "sample_n"), strat_col, "full_outer"),
+        "summary",
+    )
+    totals = {name: both.agg(F.sum(name)).scalar() for name in ("original_n", "sample_n")}
     return both.select(
         strat_col,
         "original_n",
         "sample_n",
-        percent("original_n").alias("original_pct"),
-        percent("sample_n").alias("sample_pct"),
+        *[
+            round_even(F.col(f"{side}_n") / totals[f"{side}_n"] * 100.0, 2).alias(f"{side}_pct")
+            for side in ("original", "sample")
+        ],
     ).orderBy(F.desc_nulls_last("original_n"), strat_col)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from complaintlens.functions import text as T
 from complaintlens.operators.prepare import prepare_complaints
-from complaintlens.session import spread
+from complaintlens.session import spread, written_once
 
 COMPLAINTS_SQL = """
 SELECT d.doc_id AS complaint_id,
@@ -57,6 +57,11 @@ def cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return prepare_complaints(complaints(spark, folder))
 
 
+def stored_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """The cleaned table written and read back, for jobs that read it more than once."""
+    return written_once(cleaned(spark, folder), "cleaned")
+
+
 # The same in SQL.
 
 WS = f"[{T.WHITESPACE_CLASS}]"

@@ -340,7 +340,7 @@ def stratified_targets(spark, folder):
 @query("stratified_sample", f"{_SAMPLE} SELECT complaint_id, product_category, clean_narrative FROM sample")
 def stratified_sample(spark, folder):
     return sampling.stratified_sample(
-        I.cleaned(spark, folder), "product_category", SAMPLE_TARGET, "complaint_id"
+        I.stored_cleaned(spark, folder), "product_category", SAMPLE_TARGET, "complaint_id"
     ).select("complaint_id", "product_category", "clean_narrative")
 
 
@@ -354,7 +354,7 @@ SELECT product_category, original_n, sample_n,
 FROM o FULL JOIN m USING (product_category)""",
 )
 def sampling_summary(spark, folder):
-    original = I.cleaned(spark, folder)
+    original = I.stored_cleaned(spark, folder)
     sample = sampling.stratified_sample(original, "product_category", SAMPLE_TARGET, "complaint_id")
     return sampling.sampling_summary(original, sample, "product_category")
 
@@ -411,7 +411,7 @@ def chunk_reassembly(spark, folder):
 @query("chunk_stats")
 def chunk_stats(spark, folder):
     sample = sampling.stratified_sample(
-        I.cleaned(spark, folder), "product_category", SAMPLE_TARGET, "complaint_id"
+        I.stored_cleaned(spark, folder), "product_category", SAMPLE_TARGET, "complaint_id"
     )
     chunks = chunking.chunk_documents(sample, "clean_narrative", "complaint_id")
     return rounded(chunking.chunk_stats(chunks, sample), "chunks_per_complaint")

@@ -59,13 +59,14 @@ def local_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFra
     return df.sparkSession.createDataFrame(table, df.schema)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else ``df`` unmarked.
+def settled(df: DataFrame, purpose: str, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` computed once, and whether it is small enough to be broadcast.
 
-    An unmarked side is joined by shuffle, with skew left to adaptive execution.
+    Up to ``max_rows`` rows are held by the driver. More are written to the scratch folder;
+    joins with them are then left to a shuffle, and skew to adaptive execution.
     """
     small = local_if_small(df, max_rows)
-    return df if small is None else F.broadcast(small)
+    return (written_once(df, purpose), False) if small is None else (small, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

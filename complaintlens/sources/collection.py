@@ -27,6 +27,7 @@ def write_collection(
     warehouse of the cluster is used. Text metadata is stored without nulls.
     """
     spark: SparkSession = df.sparkSession
+    # Doubled ids are dropped before the shuffle too, so copies do not pile up in one task.
     rows = fill_metadata(df).dropDuplicates([key])
     exists = spark.catalog.tableExists(name)
     if exists and reset:
@@ -34,8 +35,8 @@ def write_collection(
         exists = False
     if exists:
         rows = rows.join(spark.table(name).select(key), key, "left_anti").select(*spark.table(name).columns)
-    # By the bucket key, so that each task writes one file per bucket.
-    writer = rows.repartition(buckets, key).write.bucketBy(buckets, key).format("parquet")
+    # The rows are already partitioned by the bucket key, so a task writes to few buckets.
+    writer = rows.write.bucketBy(buckets, key).format("parquet")
     if path and not exists:
         writer = writer.option("path", path)
     writer.mode("append" if exists else "overwrite").saveAsTable(name)

@@ -66,10 +66,11 @@ def test_skewed_category_and_nulls(spark):
 
 
 def test_too_many_quotas_for_a_broadcast(strata, monkeypatch):
+    from complaintlens import session
     from complaintlens.operators import sampling
 
     expected = {r.value for r in drawn(strata, 80).collect()}
-    monkeypatch.setattr(sampling, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(sampling, "settled", lambda df, purpose: (session.written_once(df, purpose), False))
     assert {r.value for r in drawn(strata, 80).collect()} == expected
 
 
