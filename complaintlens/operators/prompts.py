@@ -155,6 +155,12 @@ def answer_questions(
     return told.unionByName(marked.filter(F.col("status") == "empty"), allowMissingColumns=True)
 
 
+def numbered_sources(answers: DataFrame, question_id: str = "question_id") -> DataFrame:
+    """The ``sources`` arrays of answers as rows again, numbered from 1 in ``source_number``."""
+    rows = answers.select(question_id, F.posexplode("sources").alias("_place", "_source"))
+    return rows.select(question_id, (F.col("_place") + 1).alias("source_number"), "_source.*")
+
+
 def source_cards(sources: DataFrame) -> DataFrame:
     """One card per retrieved source: number, product, company, snippet, label, colour, icon, HTML."""
     text = D.text_or_document(_column(sources, "chunk_text"), _column(sources, "document"))

@@ -48,25 +48,43 @@ def sources(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.find_sources(index(spark, folder), vectors, OPTIONS)
 
 
-_FOUND = f"""{I.WITH_CLEAN},
+def _vectors_sql(name: str, source: str, key: str, text: str) -> str:
+    """CTE ``name``(id, b, x): non-zero components of the hashed vectors, as stored in single precision."""
+    return f"""{name}_n AS (SELECT id, ('0x' || substr(md5(t), 1, 8))::BIGINT % {WIDTH} AS b, count(*) AS n
+  FROM (SELECT {key} AS id, unnest(string_split({text}, ' ')) AS t FROM {source}) WHERE t <> '' GROUP BY ALL),
+{name}_l AS (SELECT id, sqrt(sum(n * n)::DOUBLE) AS length FROM {name}_n GROUP BY id),
+{name} AS (SELECT id, b, (n / length)::FLOAT::DOUBLE AS x FROM {name}_n JOIN {name}_l USING (id)),
+{name}_norm AS (SELECT id, sqrt(sum(x * x)) AS norm FROM {name} GROUP BY id)"""
+
+
+def _found_sql(pieces: str) -> str:
+    """CTEs ending in ``src``: the best rows of ``piece``(chunk_id, chunk_text, ...) per question."""
+    return f"""{I.WITH_CLEAN}, {pieces},
 asked AS (SELECT item_id AS question_id, text AS question FROM benchmark
   UNION ALL SELECT -1 - item_id, '  ' FROM benchmark),
 ok AS (SELECT *, {I.sql_clean('question')} AS cleaned FROM asked WHERE {I.sql_has_text('question')}),
-token AS (SELECT complaint_id AS id, 'c' AS side, unnest(string_split(clean_narrative, ' ')) AS t FROM clean
-  UNION ALL SELECT question_id, 'q', unnest(string_split(cleaned, ' ')) FROM ok),
-bucket AS (SELECT side, id, ('0x' || substr(md5(t), 1, 8))::BIGINT % {WIDTH} AS b, count(*) AS n
-  FROM token WHERE t <> '' GROUP BY ALL),
-lengths AS (SELECT side, id, sqrt(sum(n * n)::DOUBLE) AS length FROM bucket GROUP BY ALL),
-unit AS (SELECT side, id, b, (n / length)::FLOAT::DOUBLE AS x FROM bucket JOIN lengths USING (side, id)),
-norms AS (SELECT side, id, sqrt(sum(x * x)) AS norm FROM unit GROUP BY ALL),
-dots AS (SELECT q.id AS question_id, c.id AS chunk_id, sum(q.x * c.x) AS d
-  FROM unit q JOIN unit c ON q.b = c.b AND q.side = 'q' AND c.side = 'c' GROUP BY ALL),
+{_vectors_sql('qv', 'ok', 'question_id', 'cleaned')},
+{_vectors_sql('cv', 'piece', 'chunk_id', 'chunk_text')},
+dots AS (SELECT qv.id AS question_id, cv.id AS chunk_id, sum(qv.x * cv.x) AS d FROM qv JOIN cv USING (b) GROUP BY ALL),
 scored AS (SELECT question_id, chunk_id, round(d / (a.norm * b.norm), 12) AS score FROM dots
-  JOIN norms a ON a.side = 'q' AND a.id = question_id JOIN norms b ON b.side = 'c' AND b.id = chunk_id),
+  JOIN qv_norm a ON a.id = question_id JOIN cv_norm b ON b.id = chunk_id),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank
   FROM scored),
-src AS (SELECT question_id, chunk_id, score, rank, clean_narrative AS chunk_text, product_category, company
-  FROM ranked JOIN clean ON complaint_id = chunk_id WHERE rank <= {TOP_K})"""
+src AS (SELECT question_id, chunk_id, score, rank, chunk_text, product_category, company
+  FROM ranked JOIN piece USING (chunk_id) WHERE rank <= {TOP_K})"""
+
+
+_FOUND = _found_sql(
+    "piece AS (SELECT complaint_id AS chunk_id, clean_narrative AS chunk_text, product_category, company FROM clean)"
+)
+_CHUNK_FOUND = I.recursive(
+    _found_sql(
+        f"""base AS (SELECT complaint_id AS id, clean_narrative AS text FROM clean),
+{I.sql_chunks('base', OPTIONS.chunk_size, OPTIONS.chunk_overlap)},
+piece AS (SELECT concat(id, '_', chunk_index) AS chunk_id, chunk_text, product_category, company
+  FROM chunks JOIN clean ON complaint_id = id)"""
+    )
+)
 
 _HEADER = """concat('[Source ', rank, CASE WHEN concat_ws(' | ', nullif(product_category, ''), nullif(company, '')) <> ''
   THEN concat(' — ', concat_ws(' | ', nullif(product_category, ''), nullif(company, ''))) ELSE '' END, ']')"""
@@ -183,6 +201,17 @@ def rag_answers(spark, folder):
     )
 
 
+@query(
+    "numbered_sources",
+    f"{_FOUND} SELECT question_id, rank AS source_number, chunk_id, product_category, company FROM src",
+)
+def numbered_sources(spark, folder):
+    told = jobs.answer(index(spark, folder), questions(spark, folder), OPTIONS)
+    return prompts.numbered_sources(told).select(
+        "question_id", "source_number", "chunk_id", "product_category", "company"
+    )
+
+
 def _only_long() -> prompts.Generate:
     """A generator that stays silent on short first sentences."""
     return lambda prompt: text if len(text := prompts.first_sentence(prompt)) > 60 else ""
@@ -256,7 +285,13 @@ def eval_score(spark, folder):
     return evaluation.eval_score(table).withColumn("mean_score", F.round("mean_score", 6))
 
 
-@query("chunk_answers")
+@query(
+    "chunk_answers",
+    f"""{_CHUNK_FOUND}, {_prompts_sql('ok', 'src', 'trim(chunk_text)')}
+SELECT question_id, 'ok' AS status, {_FIRST} AS answer,
+  (SELECT string_agg(chunk_id, ',' ORDER BY rank) FROM src WHERE src.question_id = prompts.question_id) AS chunk_ids
+FROM prompts UNION ALL SELECT question_id, 'empty', NULL, NULL FROM asked WHERE NOT {I.sql_has_text('question')}""",
+)
 def chunk_answers(spark, folder):
     """Answers over the chunks of all cleaned complaints, from raw rows to sources."""
     chunks = chunking.chunk_documents(
@@ -265,4 +300,6 @@ def chunk_answers(spark, folder):
     path = scratch_dir(spark, "chunk-index")
     embedding.embed(chunks, "chunk_text", embedding.hashed(WIDTH)).write.parquet(path)
     told = jobs.answer(spark.read.parquet(path), questions(spark, folder), OPTIONS)
-    return told.select("question_id", "status", "answer", F.col("sources.chunk_id").alias("chunk_ids"))
+    return told.select(
+        "question_id", "status", "answer", F.array_join("sources.chunk_id", ",").alias("chunk_ids")
+    )

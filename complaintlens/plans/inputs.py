@@ -116,3 +116,60 @@ WITH_CLEAN = f"""{WITH_CC}, usable AS (
 counted AS (
   SELECT *, CAST(len(regexp_extract_all(clean_narrative, '\\S+')) AS INTEGER) AS clean_word_count FROM usable),
 clean AS (SELECT * FROM counted WHERE clean_word_count >= 3)"""
+
+
+def sql_chunks(relation: str, size: int, overlap: int) -> str:
+    """CTEs ending in ``chunks(id, chunk_index, total_chunks, chunk_text)`` for ``relation(id, text)``.
+
+    For cleaned texts, where only sentences, blanks and single characters part the pieces.
+    Pieces of one level that are packed together form a run with the running length of its
+    pieces. A chunk starts at a length ``base`` and takes all pieces up to ``base + size``; the
+    next one starts at the first piece that leaves at most ``overlap`` and room for one more.
+    """
+
+    def pieces(source: str, keys: str, separator: str, order: str) -> str:
+        parts = f"string_split({source}.piece, '{separator}')"
+        return (
+            f"SELECT {keys}, i AS {order}, CASE WHEN i > 1 THEN '{separator}' || p ELSE p END AS piece FROM "
+            f"(SELECT {keys}, unnest({parts}) AS p, generate_subscripts({parts}, 1) AS i FROM {source} "
+            f"WHERE length(piece) >= least_length) WHERE i > 1 OR p <> ''"
+        )
+
+    def numbered(source: str, keys: str, order: str, group: str) -> str:
+        return (
+            f"SELECT *, {size} AS least_length, CAST(sum(CASE WHEN length(piece) >= {size} THEN 1 ELSE 0 END) "
+            f"OVER (PARTITION BY {keys} ORDER BY {order}) AS BIGINT) AS {group} FROM {source}"
+        )
+
+    def runs(source: str, keys: str, order: str, place: str, condition: str) -> str:
+        return (
+            f"SELECT id, {place}, string_agg(piece, '' ORDER BY {order}) AS txt, list(upto ORDER BY {order}) AS cum "
+            f"FROM (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY {keys} ORDER BY {order}) AS BIGINT) AS upto "
+            f"FROM {source} WHERE {condition}) GROUP BY {keys}"
+        )
+
+    small = f"length(piece) < {size}"
+    return f"""
+whole AS (SELECT id, text AS piece, 0 AS least_length FROM {relation}),
+sentences AS ({pieces('whole', 'id', '. ', 'o1')}),
+level1 AS ({numbered('sentences', 'id', 'o1', 'g1')}),
+words AS ({pieces('level1', 'id, g1', ' ', 'o2')}),
+level2 AS ({numbered('words', 'id, g1', 'o2', 'g2')}),
+letters AS (SELECT id, g1, g2, unnest(string_split(piece, '')) AS piece,
+  generate_subscripts(string_split(piece, ''), 1) AS o3 FROM level2 WHERE NOT {small}),
+runs AS ({runs('level1', 'id, g1', 'o1', 'g1 AS a, 1 AS b, 0 AS c, 0 AS d', small)}
+  UNION ALL {runs('level2', 'id, g1, g2', 'o2', 'g1, 0, g2, 1', small)}
+  UNION ALL {runs('letters', 'id, g1, g2', 'o3', 'g1, 0, g2, 0', 'true')}),
+walk AS (SELECT id, a, b, c, d, txt, cum, CAST(0 AS BIGINT) AS base, 0 AS step,
+    len(list_filter(cum, lambda x: x <= {size})) AS e FROM runs
+  UNION ALL
+  SELECT id, a, b, c, d, txt, cum, base2, step + 1, len(list_filter(cum, lambda x: x <= base2 + {size}))
+  FROM (SELECT *, CASE WHEN t <= base THEN base ELSE list_filter(cum, lambda x: x >= t)[1] END AS base2
+    FROM (SELECT *, greatest(cum[e] - {overlap}, cum[e + 1] - {size}) AS t FROM walk WHERE e < len(cum)))),
+cut AS (SELECT *, trim(substring(txt, base + 1, cum[e] - base)) AS chunk_text FROM walk),
+chunks AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY a, b, c, d, step) - 1 AS INTEGER) AS chunk_index,
+  CAST(count(*) OVER (PARTITION BY id) AS INTEGER) AS total_chunks, chunk_text FROM cut WHERE chunk_text <> '')"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)

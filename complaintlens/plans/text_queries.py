@@ -362,7 +362,16 @@ def sampling_summary(spark, folder):
 # --- chunking --------------------------------------------------------------
 
 
-@query("chunk_documents")
+_CHUNKS = f"base AS (SELECT complaint_id AS id, clean_narrative AS text FROM clean), {I.sql_chunks('base', 500, 50)}"
+
+
+@query(
+    "chunk_documents",
+    I.recursive(
+        f"""{I.WITH_CLEAN}, {_CHUNKS} SELECT concat(id, '_', chunk_index) AS chunk_id, complaint_id, chunk_index,
+  total_chunks, chunk_text, product_category, company, state FROM chunks JOIN clean ON id = complaint_id"""
+    ),
+)
 def chunk_documents(spark, folder):
     return chunking.chunk_documents(
         I.cleaned(spark, folder), "clean_narrative", "complaint_id", ["product_category", "company", "state"]
@@ -408,7 +417,15 @@ def chunk_reassembly(spark, folder):
     )
 
 
-@query("chunk_stats")
+@query(
+    "chunk_stats",
+    I.recursive(
+        f"""{_SAMPLE}, base AS (SELECT complaint_id AS id, clean_narrative AS text FROM sample),
+{I.sql_chunks('base', 500, 50)},
+n AS (SELECT (SELECT count(*) FROM chunks) AS n_chunks, (SELECT count(*) FROM sample) AS n_complaints)
+SELECT n_chunks, n_complaints, round(n_chunks::DOUBLE / n_complaints, 6) AS chunks_per_complaint FROM n"""
+    ),
+)
 def chunk_stats(spark, folder):
     sample = sampling.stratified_sample(
         I.stored_cleaned(spark, folder), "product_category", SAMPLE_TARGET, "complaint_id"
