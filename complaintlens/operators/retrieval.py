@@ -138,7 +138,7 @@ def retrieve(
 ) -> DataFrame:
     """Best k vectors of each question: question_id, key, score, rank. Fewer if there are fewer.
 
-    The questions are fetched once, up to the bound, to decide between broadcast and blocks.
+    ``key`` and ``question_id`` identify a row of their tables. The questions are fetched once, up to the bound, to decide between broadcast and blocks.
     """
     if k < 1:
         raise ValueError(f"k must be at least 1, got {k}")

@@ -68,8 +68,9 @@ def stratified_sample(
     hashed = (
         df.filter(F.col(strat_col).isNotNull())
         .withColumn("_hash", sample_hash(F.col(key), seed))
-        # The leading 32 bits of the hash, scaled: slices follow the order of the hash.
-        .withColumn("_slice", F.floor(leading * slices / _HASH_RANGE).cast("int"))
+        # The leading 32 bits of the hash, scaled: slices follow the order of the hash. Rows
+        # without a key, whose hash is null and sorts first, are in the first slice.
+        .withColumn("_slice", F.coalesce(F.floor(leading * slices / _HASH_RANGE).cast("int"), F.lit(0)))
     )
     per_slice, small = settled(
         hashed.groupBy(strat_col, "_slice").agg(F.count(F.lit(1)).alias("_rows")), "slices"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from complaintlens.functions import display as D
 from complaintlens.operators import chunking, embedding, evaluation, prompts
+from complaintlens.operators.prepare import filter_with_text
 from complaintlens.options import JobOptions
 from complaintlens.plans import inputs as I
 from complaintlens.plans import jobs
@@ -43,7 +44,7 @@ def index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, folder: str) -> DataFrame:
-    asked = questions(spark, folder).filter(F.col("question").rlike(r"\S"))
+    asked = filter_with_text(questions(spark, folder), "question")
     vectors = jobs.embed_questions(asked, width=WIDTH)
     return jobs.find_sources(index(spark, folder), vectors, OPTIONS)
 
@@ -180,7 +181,7 @@ def source_cards(spark, folder):
 
 @query("rag_prompts", f"{_PROMPTS} SELECT question_id, prompt FROM prompts")
 def rag_prompts(spark, folder):
-    asked = questions(spark, folder).filter(F.col("question").rlike(r"\S"))
+    asked = filter_with_text(questions(spark, folder), "question")
     return prompts.build_prompts(asked, sources(spark, folder)).select("question_id", "prompt")
 
 
@@ -227,7 +228,7 @@ def _say_unknown() -> prompts.Generate:
 SELECT question_id, CASE WHEN length(answer) > 60 THEN answer ELSE 'The excerpts do not say.' END AS answer FROM said""",
 )
 def answer_fallback(spark, folder):
-    asked = questions(spark, folder).filter(F.col("question").rlike(r"\S"))
+    asked = filter_with_text(questions(spark, folder), "question")
     ready = prompts.build_prompts(asked, sources(spark, folder))
     return prompts.generate_with_fallback(ready, _only_long, _say_unknown).select("question_id", "answer")
 
@@ -240,7 +241,7 @@ eval AS (SELECT question_id, question, {_FIRST} AS answer, coalesce(top_sources,
 
 
 def evaluated(spark: SparkSession, folder: str) -> DataFrame:
-    asked = questions(spark, folder).filter(F.col("question").rlike(r"\S"))
+    asked = filter_with_text(questions(spark, folder), "question")
     found = sources(spark, folder)
     answers = prompts.generate(prompts.build_prompts(asked, found))
     return evaluation.eval_table(answers, found)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from complaintlens.functions.text import clean_narrative
 from complaintlens.operators.chunking import chunk_documents
 from complaintlens.operators.embedding import EmbedderFactory, embed, hashed
-from complaintlens.operators.prepare import prepare_complaints
+from complaintlens.operators.prepare import filter_with_text, prepare_complaints
 from complaintlens.operators.prompts import GeneratorFactory, answer_questions, extractive
 from complaintlens.operators.retrieval import attach_metadata, retrieve
 from complaintlens.operators.sampling import stratified_sample
@@ -72,7 +72,7 @@ def answer(
     fallback: GeneratorFactory | None = None,
 ) -> DataFrame:
     """Questions (question_id, question) to answers with sources and prompts."""
-    asked = questions.filter(F.col("question").rlike(r"\S"))
+    asked = filter_with_text(questions, "question")
     vectors = embed_questions(asked, "question", embedder, options.vector_width)
     sources = find_sources(index, vectors, options)
     return answer_questions(questions, sources, generator, fallback)

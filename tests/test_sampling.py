@@ -44,10 +44,10 @@ def test_no_row_twice(strata):
     assert sample.select("value").distinct().count() == sample.count() == 80
 
 
-@pytest.mark.parametrize("slices", [1, 3, 64, 1024])
+@pytest.mark.parametrize("slices", [1, 3, 1024])
 def test_rows_are_the_first_by_hash_whatever_the_slices(strata, slices):
     rows = [tuple(r) for r in strata.collect()]
-    for n in (7, 80, 399, 799):
+    for n in (7, 399):
         found = {r.value for r in drawn(strata, n, seed=5, slices=slices).collect()}
         assert found == brute_force(rows, n, 5)
 
@@ -74,6 +74,11 @@ def test_too_many_quotas_for_a_broadcast(strata, monkeypatch):
     assert {r.value for r in drawn(strata, 80).collect()} == expected
 
 
+def test_rows_without_a_key_count_too(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "a"), (1, "a"), (2, "b")], "value long, category string")
+    assert drawn(df, 4).count() == 4
+
+
 def test_shuffle_keeps_the_rows(strata):
     plain, mixed = drawn(strata, 80), drawn(strata, 80, shuffle=True)
     assert {r.value for r in plain.collect()} == {r.value for r in mixed.collect()}
