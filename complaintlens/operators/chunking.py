@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,11 +84,13 @@ def splitter(
         raise ValueError(f"need size >= 1 and 0 <= overlap < size, got {size} and {overlap}")
     separators = tuple(separators)
 
-    @F.pandas_udf("array<string>")
-    def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda text: split_text(text, size, overlap, separators) if text and text.strip() else []
-        )
+    @F.arrow_udf("array<string>")
+    def pieces(texts: pa.Array) -> pa.Array:
+        lists = [
+            split_text(text, size, overlap, separators) if text and text.strip() else []
+            for text in texts.to_pylist()
+        ]
+        return pa.array(lists, pa.list_(pa.string()))
 
     return pieces
 

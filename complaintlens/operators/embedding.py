@@ -14,7 +14,7 @@ from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,18 +65,23 @@ def embed(
 ) -> DataFrame:
     """Adds the unit vector of a text column, null where the text is null. Narrow."""
 
-    @F.pandas_udf("array<float>")
-    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def vectors(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embedder = factory()
         for texts in parts:
-            found: list[np.ndarray | None] = [None] * len(texts)
-            known = np.flatnonzero(texts.notna())
-            for start in range(0, len(known), batch):
-                places = known[start : start + batch]
-                block = np.asarray(embedder.embed(texts.iloc[places].tolist()), dtype="float64")
-                for place, vector in zip(places, _unit_rows(block).astype("float32")):
-                    found[place] = vector
-            yield pd.Series(found, dtype=object)
+            known = texts.drop_null().to_pylist()
+            blocks = [
+                _unit_rows(np.asarray(embedder.embed(known[start : start + batch]), dtype="float64"))
+                for start in range(0, len(known), batch)
+            ]
+            found = np.concatenate(blocks).astype("float32") if blocks else np.zeros((0, 0), "float32")
+            # One flat array of numbers; a null text takes none of them.
+            missing = texts.is_null().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(~missing) * found.shape[1]
+            offsets = np.concatenate([[0], ends]).astype("int32")
+            yield pa.ListArray.from_arrays(
+                pa.array(offsets), pa.array(found.ravel()), mask=pa.array(missing)
+            )
 
     return df.withColumn(output, vectors(F.col(text_col)))
 

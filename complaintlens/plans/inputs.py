@@ -40,10 +40,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def complaints(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql(
         COMPLAINTS_SQL,
-        documents=spread(table(spark, folder, "documents"), "doc_id"),
+        documents=documents(spark, folder),
         nation=table(spark, folder, "nation"),
     )
 

@@ -43,7 +43,7 @@ def clean_narrative(spark, folder):
     f"SELECT doc_id, CAST({I.sql_words('text')} AS INTEGER) AS word_count FROM documents",
 )
 def word_counts(spark, folder):
-    docs = I.table(spark, folder, "documents")
+    docs = I.documents(spark, folder)
     return docs.select("doc_id", T.word_count(F.col("text")).alias("word_count"))
 
 
@@ -385,7 +385,7 @@ def chunk_documents(spark, folder):
 )
 def chunk_invariants(spark, folder):
     """Per document with text, what must hold of its chunks."""
-    docs = I.table(spark, folder, "documents")
+    docs = I.documents(spark, folder)
     chunks = chunking.chunk_documents(docs, "text", "doc_id")
     return chunks.groupBy(F.col("complaint_id").alias("doc_id")).agg(
         (F.count(F.lit(1)) > 0).alias("has_chunks"),
@@ -409,7 +409,7 @@ def chunk_invariants(spark, folder):
 )
 def chunk_reassembly(spark, folder):
     """Without overlap the chunks of a text join to that text, white space aside."""
-    docs = I.table(spark, folder, "documents")
+    docs = I.documents(spark, folder)
     pieces = chunking.splitter(overlap=0)
     joined = F.regexp_replace(F.array_join(pieces(F.col("text")), ""), I.WS, "")
     return docs.filter(T.has_text(F.col("text"))).select(
