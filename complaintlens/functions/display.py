@@ -51,9 +51,26 @@ def snippet(text: Column) -> Column:
     return shorten(text, SNIPPET_LIMIT, SNIPPET_KEEP)
 
 
+def two_decimals(value: Column) -> Column:
+    """The double with two decimals, to the nearer one by its exact binary value, ties to even.
+
+    This is how C and Python format; Java rounds the shortest decimal form half up. The value
+    is split into a single-precision part and a rest, so that its distance from the middle
+    between two hundredths has the right sign.
+    """
+    size = F.abs(value)
+    below = F.floor(size * 100.0).cast("double")
+    head = size.cast("float").cast("double")
+    distance = (head * 200.0 - (below * 2.0 + 1.0)) + (size - head) * 200.0
+    even = F.when(F.pmod(below, F.lit(2.0)) == 0, below).otherwise(below + 1.0)
+    nearest = F.when(distance < 0, below).when(distance > 0, below + 1.0).otherwise(even)
+    sign = F.when(F.startswith(value.cast("string"), F.lit("-")), F.lit(-1.0)).otherwise(F.lit(1.0))
+    return F.format_string("%.2f", sign * nearest / 100.0)
+
+
 def score_label(score: Column) -> Column:
     """Two decimals; empty without a score."""
-    return F.when(score.isNotNull(), F.format_string("%.2f", score)).otherwise(F.lit(""))
+    return F.when(score.isNotNull(), two_decimals(score)).otherwise(F.lit(""))
 
 
 def markdown_bold(text: Column) -> Column:

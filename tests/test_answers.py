@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +106,18 @@ def test_card_text_is_cut_and_score_may_be_missing(spark):
     assert cards[1].score_label == "" and "relevance" not in cards[1].html
 
 
+def test_score_label_rounds_as_python_does(spark):
+    rng = random.Random(1)
+    values = [0.125, 0.375, 0.625, 0.165, 0.145, 0.005, 0.015, 1.005, 2.675, 0.0, -0.0, 1.0, 0.995, 12345.675]
+    values += [rng.random() for _ in range(2000)] + [rng.randrange(4000) / 1000 for _ in range(2000)]
+    values += [rng.randrange(8000) / 8 for _ in range(200)]
+    values += [-v for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    labels = [r[0] for r in df.select(D.score_label(F.col("x"))).collect()]
+    assert labels == [f"{v:.2f}" for v in values]
+    assert spark.createDataFrame([(None,)], "x double").select(D.score_label(F.col("x"))).first()[0] == ""
+
+
 def test_bold(spark):
     texts = ["a **b** c **d e**", "**x\ny**", "none", "****"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
