@@ -99,7 +99,10 @@ def extractive() -> Generate:
 def generate(
     df: DataFrame, factory: GeneratorFactory = extractive, prompt: str = "prompt", output: str = "answer"
 ) -> DataFrame:
-    """Adds the generated text, stripped, empty if the generator gives none."""
+    """Adds the generated text, stripped, empty if the generator gives none.
+
+    A model may answer differently each time, so the plan must not ask it twice.
+    """
 
     @F.pandas_udf("string")
     def answers(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -107,7 +110,7 @@ def generate(
         for prompts in parts:
             yield prompts.map(lambda text: (answer(text) or "").strip())
 
-    return df.withColumn(output, answers(F.col(prompt)))
+    return df.withColumn(output, answers.asNondeterministic()(F.col(prompt)))
 
 
 def generate_with_fallback(
@@ -147,6 +150,8 @@ def answer_questions(
     marked = question_status(questions, question)
     asked = marked.filter(F.col("status") == "ok")
     prompts = build_prompts(asked, sources, question_id, question, organisation)
+    # Prompts are small but slow to answer: over all cores, however few bytes they are.
+    prompts = prompts.repartition(questions.sparkSession.sparkContext.defaultParallelism, question_id)
     if fallback is None:
         answered = generate(prompts, factory)
     else:

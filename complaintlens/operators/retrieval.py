@@ -30,8 +30,9 @@ from complaintlens.session import local_if_small
 
 DEFAULT_K = 5
 MAX_QUESTION_BYTES = 32 * 1024 * 1024
+# A block of vectors goes through the shuffle once per block of questions, so those are large.
 BLOCK_VECTORS = 100_000
-BLOCK_QUESTIONS = 2_000
+BLOCK_QUESTIONS = 20_000
 SCORE_DIGITS = 12
 MAX_SCORES = 8_000_000
 

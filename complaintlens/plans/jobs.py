@@ -34,6 +34,10 @@ def chunks_with_vectors(
     """Cleaned table to a stratified sample, its chunks and their vectors."""
     key = id_column_fallback(cleaned)
     sample = stratified_sample(cleaned, "product_category", options.sample_size, key, options.seed)
+    cores = cleaned.sparkSession.sparkContext.defaultParallelism
+    if options.sample_size < cores * options.batch_rows:
+        # Few bytes come in few partitions, but embedding is slow per row.
+        sample = sample.repartition(cores, key)
     chunks = chunk_documents(
         sample,
         text_column_fallback(sample),
