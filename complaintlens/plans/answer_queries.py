@@ -179,6 +179,19 @@ def source_cards(spark, folder):
     )
 
 
+@query(
+    "question_cards",
+    f"""{_CARDS}, html AS (SELECT question_id, {_CARD_HTML} AS html FROM cards),
+both_ids AS (SELECT question_id FROM asked UNION ALL SELECT -1 - question_id FROM asked)
+SELECT question_id, coalesce(html, {I.sql_text(D.NO_SOURCES)}) AS sources_html FROM both_ids LEFT JOIN html USING (question_id)""",
+)
+def question_cards(spark, folder):
+    """The cards of each document's own complaint, and for each document a question without sources."""
+    ids = I.table(spark, folder, "documents").select(F.col("doc_id").alias("question_id"))
+    asked = ids.union(ids.select(-1 - F.col("question_id")))
+    return prompts.cards_per_question(asked, listed(spark, folder))
+
+
 @query("rag_prompts", f"{_PROMPTS} SELECT question_id, prompt FROM prompts")
 def rag_prompts(spark, folder):
     asked = filter_with_text(questions(spark, folder), "question")

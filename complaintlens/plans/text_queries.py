@@ -323,7 +323,7 @@ def kpis(spark, folder):
 _TARGETS = f"""{I.WITH_CLEAN}, g AS (SELECT product_category, count(*) AS n FROM clean GROUP BY product_category),
 targets AS (SELECT product_category, n, n / CAST(sum(n) OVER () AS DOUBLE) AS share FROM g),
 t AS (SELECT *, least(CAST(round_even(share * {SAMPLE_TARGET}::DOUBLE, 0) AS BIGINT), n) AS target FROM targets)"""
-_SAMPLE = f"""{_TARGETS}, ranked AS (SELECT c.*, row_number() OVER (PARTITION BY product_category
+SAMPLE_SQL = f"""{_TARGETS}, ranked AS (SELECT c.*, row_number() OVER (PARTITION BY product_category
   ORDER BY md5(concat('42:', CAST(complaint_id AS VARCHAR))), complaint_id) AS rk FROM clean c),
 sample AS (SELECT ranked.* FROM ranked JOIN t USING (product_category) WHERE rk <= target)"""
 
@@ -337,7 +337,7 @@ def stratified_targets(spark, folder):
     return rounded(targets, "share")
 
 
-@query("stratified_sample", f"{_SAMPLE} SELECT complaint_id, product_category, clean_narrative FROM sample")
+@query("stratified_sample", f"{SAMPLE_SQL} SELECT complaint_id, product_category, clean_narrative FROM sample")
 def stratified_sample(spark, folder):
     return sampling.stratified_sample(
         I.stored_cleaned(spark, folder), "product_category", SAMPLE_TARGET, "complaint_id"
@@ -346,7 +346,7 @@ def stratified_sample(spark, folder):
 
 @query(
     "sampling_summary",
-    f"""{_SAMPLE}, o AS (SELECT product_category, count(*) AS original_n FROM clean GROUP BY product_category),
+    f"""{SAMPLE_SQL}, o AS (SELECT product_category, count(*) AS original_n FROM clean GROUP BY product_category),
 m AS (SELECT product_category, count(*) AS sample_n FROM sample GROUP BY product_category)
 SELECT product_category, original_n, sample_n,
   round_even(original_n / CAST(sum(original_n) OVER () AS DOUBLE) * 100.0::DOUBLE, 2) AS original_pct,
@@ -420,7 +420,7 @@ def chunk_reassembly(spark, folder):
 @query(
     "chunk_stats",
     I.recursive(
-        f"""{_SAMPLE}, base AS (SELECT complaint_id AS id, clean_narrative AS text FROM sample),
+        f"""{SAMPLE_SQL}, base AS (SELECT complaint_id AS id, clean_narrative AS text FROM sample),
 {I.sql_chunks('base', 500, 50)},
 n AS (SELECT (SELECT count(*) FROM chunks) AS n_chunks, (SELECT count(*) FROM sample) AS n_complaints)
 SELECT n_chunks, n_complaints, round(n_chunks::DOUBLE / n_complaints, 6) AS chunks_per_complaint FROM n"""

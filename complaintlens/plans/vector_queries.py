@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from complaintlens.functions import vectors as V
 from complaintlens.operators import embedding, retrieval, sampling
+from complaintlens.options import JobOptions
 from complaintlens.plans import inputs as I
+from complaintlens.plans import jobs
 from complaintlens.plans.registry import query
+from complaintlens.plans.text_queries import SAMPLE_SQL, SAMPLE_TARGET
 from complaintlens.session import scratch_dir
 from complaintlens.sources import collection, columns, complaints, exports
 from complaintlens.streaming import ingest
@@ -33,6 +35,14 @@ def label_questions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def vector_sum(vector: str) -> Column:
+    """A vector as one number: the sum of its components weighted with their places."""
+    weighted = F.zip_with(
+        V.as_doubles(F.col(vector)), F.sequence(F.lit(1), F.size(vector)), lambda x, i: x * i
+    )
+    return F.aggregate(weighted, F.lit(0.0), lambda total, x: total + x)
+
+
 _QUESTIONS = """WITH parts AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos
   FROM embeddings),
 means AS (SELECT label, pos, avg(x) AS x FROM parts GROUP BY label, pos),
@@ -205,6 +215,29 @@ def embed_norms(spark, folder):
     )
 
 
+@query(
+    "chunk_vector_table",
+    I.recursive(
+        f"""{SAMPLE_SQL}, base AS (SELECT complaint_id AS id, clean_narrative AS text FROM sample),
+{I.sql_chunks('base', 500, 50)},
+token AS (SELECT id, chunk_index, unnest(string_split(chunk_text, ' ')) AS t FROM chunks),
+bucket AS (SELECT id, chunk_index, ('0x' || substr(md5(t), 1, 8))::BIGINT % {HASH_WIDTH} AS b, count(*) AS n
+  FROM token WHERE t <> '' GROUP BY ALL),
+lengths AS (SELECT id, chunk_index, sqrt(sum(n * n)::DOUBLE) AS length FROM bucket GROUP BY ALL),
+summed AS (SELECT id, chunk_index, sum((b + 1) * (n / length)::FLOAT::DOUBLE) AS total
+  FROM bucket JOIN lengths USING (id, chunk_index) GROUP BY ALL)
+SELECT concat(id, '_', chunk_index) AS chunk_id, complaint_id, chunk_index, total_chunks, chunk_text, product_category,
+  product, issue, company, state, date_received, round(total, 3) AS vec_check
+FROM chunks JOIN summed USING (id, chunk_index) JOIN clean ON complaint_id = id"""
+    ),
+)
+def chunk_vector_table(spark, folder):
+    """From the cleaned table to sampled, chunked and embedded rows."""
+    options = JobOptions(sample_size=SAMPLE_TARGET, vector_width=HASH_WIDTH)
+    chunks = jobs.chunks_with_vectors(I.stored_cleaned(spark, folder), options)
+    return chunks.withColumn("vec_check", vector_check()).drop("embedding")
+
+
 # --- exports, index, metadata ----------------------------------------------
 
 
@@ -243,11 +276,7 @@ def written(df: DataFrame, purpose: str) -> str:
 
 
 def vector_check(vector: str = "embedding"):
-    """A vector as one number: its components weighted with their places."""
-    weighted = F.zip_with(
-        V.as_doubles(F.col(vector)), F.sequence(F.lit(1), F.size(vector)), lambda x, i: x * i
-    )
-    return F.round(F.aggregate(weighted, F.lit(0.0), lambda total, x: total + x), 3)
+    return F.round(vector_sum(vector), 3)
 
 
 _EXPORT = f"""{I.WITH_CC}, e AS (SELECT complaint_id, narrative, product_category, product, company, state,
