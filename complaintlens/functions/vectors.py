@@ -23,16 +23,22 @@ def norm(vector: Column) -> Column:
 
 
 def l2_normalize(vector: Column) -> Column:
-    """The vector at length one; a zero vector stays as it is."""
-    length = norm(vector)
-    doubles = as_doubles(vector)
-    return F.when(length > 0, F.transform(doubles, lambda x: x / length)).otherwise(doubles)
+    """The vector at length one; a zero vector stays as it is.
+
+    The length is bound to the variable of an outer one-element ``transform``. Written into
+    the inner function, it would be computed again for every component.
+    """
+
+    def at_length_one(length: Column) -> Column:
+        doubles = as_doubles(vector)
+        return F.when(length > 0, F.transform(doubles, lambda x: x / length)).otherwise(doubles)
+
+    return F.get(F.transform(F.array(norm(vector)), at_length_one), F.lit(0))
 
 
 def cosine(left: Column, right: Column) -> Column:
     """Cosine similarity; 0 if either vector has length 0."""
-    lengths = norm(left) * norm(right)
-    return F.when(lengths > 0, dot(left, right) / lengths).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(dot(left, right), norm(left) * norm(right)), F.lit(0.0))
 
 
 def check_width(vector: Column, width: int) -> Column:

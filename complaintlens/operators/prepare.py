@@ -84,13 +84,13 @@ def kept_flag(
 def before_after_preview(
     df: DataFrame, key: str, text: str = "narrative", n: int = 2, width: int = PREVIEW_WIDTH
 ) -> DataFrame:
-    """The first ``n`` rows by key, original and cleaned text side by side."""
-    return (
-        df.select(
-            key,
-            F.substring(text, 1, width).alias("before"),
-            F.substring("clean_narrative", 1, width).alias("after"),
-        )
-        .orderBy(key)
-        .limit(n)
+    """The first ``n`` usable rows by key, original and cleaned text side by side.
+
+    Only those ``n`` texts are cleaned.
+    """
+    first = df.select(key, text).orderBy(key).limit(n)
+    return with_clean_narrative(first, text).select(
+        key,
+        F.substring(text, 1, width).alias("before"),
+        F.substring("clean_narrative", 1, width).alias("after"),
     )

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from complaintlens.functions.vectors import cosine
+from complaintlens.functions.vectors import check_width, cosine
 from complaintlens.session import local_if_small
 
 DEFAULT_K = 5
@@ -99,8 +99,9 @@ def top_k_single(
     vector: str = "embedding",
     k: int = DEFAULT_K,
 ) -> DataFrame:
-    """Best k rows for one question vector: key, score."""
-    score = F.round(cosine(F.col(vector), F.lit([float(x) for x in question])), SCORE_DIGITS)
+    """Best k rows for one question vector: key, score. Fails on a vector of another width."""
+    wanted = F.lit([float(x) for x in question])
+    score = F.round(cosine(check_width(F.col(vector), len(question)), wanted), SCORE_DIGITS)
     return vectors.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 

@@ -60,10 +60,11 @@ def clean_filtered(spark, folder):
 @query(
     "clean_preview",
     f"{I.WITH_CLEAN} SELECT complaint_id, substring(narrative, 1, 200) AS before, "
-    "substring(clean_narrative, 1, 200) AS after FROM clean ORDER BY complaint_id LIMIT 2",
+    "substring(clean_narrative, 1, 200) AS after FROM usable ORDER BY complaint_id LIMIT 2",
 )
 def clean_preview(spark, folder):
-    return prepare.before_after_preview(I.cleaned(spark, folder), "complaint_id")
+    usable = prepare.filter_with_text(prepare.filter_mapped(I.mapped(spark, folder)))
+    return prepare.before_after_preview(usable, "complaint_id")
 
 
 _BOLD = "concat('**', product, '**: ', narrative, ' **', company, '**')"

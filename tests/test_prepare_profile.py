@@ -143,7 +143,8 @@ def test_kpis_and_placeholders(raw):
 
 
 def test_previews(raw):
-    preview = prepare.before_after_preview(prepare.prepare_complaints(raw), "complaint_id", n=1, width=10)
+    usable = prepare.filter_with_text(prepare.filter_mapped(prepare.with_product_category(raw)))
+    preview = prepare.before_after_preview(usable, "complaint_id", n=1, width=10)
     assert preview.collect() == [(1, "I was char", "i was char")]
     short = profile.short_narratives(raw, "complaint_id", n=2).collect()
     assert [r.complaint_id for r in short] == [5, 6]

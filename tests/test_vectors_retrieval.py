@@ -48,6 +48,12 @@ def test_vector_expressions(spark):
     assert tuple(rows[1]) == (0.0, [0.0, 0.0], 0.0, 0.0)
 
 
+def test_length_is_computed_once_per_vector(spark):
+    df = spark.createDataFrame([([3.0, 4.0],)], "v array<float>").select(V.l2_normalize(F.col("v")))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") == 1
+
+
 def test_check_width(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "v array<float>")
     with pytest.raises(Exception, match="expected vectors of width 2, found width 1"):
@@ -129,6 +135,8 @@ def test_wrong_width_fails(spark, random_vectors):
         retrieval.retrieve(table(spark, vectors), asked(spark, random_vectors(1, WIDTH)), 1, WIDTH).collect()
     with pytest.raises(ValueError, match="width"):
         retrieval.retrieve(table(spark, vectors), asked(spark, vectors), 1, WIDTH)
+    with pytest.raises(Exception, match="width"):
+        retrieval.top_k_single(table(spark, vectors), random_vectors(1, WIDTH)[0]).collect()
     with pytest.raises(ValueError, match="k must"):
         retrieval.retrieve(table(spark, vectors), asked(spark, vectors), 0, 8)
 
