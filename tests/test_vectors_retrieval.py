@@ -49,7 +49,7 @@ def test_vector_expressions(spark):
 
 
 def test_length_is_computed_once_per_vector(spark):
-    df = spark.createDataFrame([([3.0, 4.0],)], "v array<float>").select(V.l2_normalize(F.col("v")))
+    df = spark.createDataFrame([([3.0, 4.0],)], "v array<float>").select(V.l2_normalize(F.col("v")).alias("u"))
     plan = df._jdf.queryExecution().analyzed().toString()
     assert plan.count("aggregate(") == 1
 
