@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from complaintlens.llm import near_duplicates, quality
+from complaintlens.llm import near_duplicates, quality, toxicity
 from complaintlens.llm.registry import query, table
 
 
+@query("op2_toxicity")
+def toxicity_scores(spark, folder):
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op3_quality")
 def quality_scores(spark, folder):
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
