@@ -113,8 +113,11 @@ class Model:
         return recurrent.sigmoid(best)
 
 
-def train(texts: list[str | None], labels: np.ndarray, epochs: int = 8, rate: float = 0.01, batch: int = 256, max_words: int = 4000, seed: int = 1) -> Model:
-    """A model of ``texts`` and their 0/1 ``labels``. With labels of one class or none it scores all texts alike."""
+def train(texts: list[str | None], labels: np.ndarray, epochs: int = 8, steps: int = 400, rate: float = 0.01, batch: int = 64, max_words: int = 4000, seed: int = 1) -> Model:
+    """A model of ``texts`` and their 0/1 ``labels``, trained for ``epochs`` and at least ``steps`` batches.
+
+    With labels of one class or none it scores all texts alike.
+    """
     rng, tokens = np.random.default_rng(seed), [words_of(t) for t in texts]
     frequent = Counter(w for part in tokens for w in set(part))
     common = sorted((w for w, n in frequent.items() if n > 2), key=lambda w: (-frequent[w], w))[:max_words]
@@ -153,7 +156,7 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 8, rate: fl
     logits = odds_of_word[windows].max(axis=1)
 
     adam, label_of = recurrent.Adam(p, rate), labels[owner]
-    for epoch in range(epochs):
+    for epoch in range(max(epochs, -(-steps * batch // max(1, 2 * len(texts))))):
         if epoch:
             logits = _logits(model, windows, word_ids, flat, bounds, counts)
         worst = np.lexsort((-logits, owner))
