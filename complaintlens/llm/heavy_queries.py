@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from complaintlens.llm import near_duplicates, quality, toxicity
+from pyspark.sql import functions as F
+
+from complaintlens.llm import near_duplicates, quality, repeats, toxicity
 from complaintlens.llm.registry import query, table
 
 
+@query("op1_suffix_dedup")
+def suffix_dedup(spark, folder):
+    found = repeats.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op2_toxicity")
 def toxicity_scores(spark, folder):
     return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
