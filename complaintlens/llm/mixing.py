@@ -70,27 +70,29 @@ def hash_thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
-) -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, source, size, source_size, target (of the source), taken (words the mix takes).
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, the columns ``keep``, source, size, source_size, target (of the source), taken (words the mix takes).
 
     Size is the number of words between white space. ``taken`` is a multiple of size, ``cap`` times at most. Null texts and
     blank texts have size 0 and take nothing; null sources are one source; rows that repeat an id share its hash and are
     taken alike; other columns are left out; an empty table gives an empty result.
     """
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    sized = written_once(
-        docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(space_words(F.col(text_col))).cast("long").alias("size"),
-            F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
-        ), "mix-sizes",
+    carried = [f"c{i}" for i in range(len(keep))]
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(space_words(F.col(text_col))).cast("long").alias("size"),
+        F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"), *[F.col(name).alias(c) for name, c in zip(keep, carried, strict=True)],
     )
+    sized = written_once(rows.drop(*carried), "mix-sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = written_once(targets.withColumn("copies", copies).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")), "mix-targets")
     below = hash_thresholds(sized, targets)
     plan = targets.join(below.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), "source_size", "target", "copies", "below")
-    return sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("id").alias(id_col), F.col("source"), "size", "source_size", "target",
+    # With columns to carry, the documents are read again rather than written with them.
+    return (rows if keep else sized).join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
+        F.col("id").alias(id_col), *[F.col(c).alias(name) for name, c in zip(keep, carried, strict=True)], F.col("source"), "size", "source_size", "target",
         (F.col("size") * (F.col("copies") + (F.col("h") < F.col("below")).cast("long"))).alias("taken"),
     )

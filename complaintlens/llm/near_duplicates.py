@@ -48,16 +48,16 @@ def simhash(text: str | None, width: int) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist())
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp) per row of ``docs``; ``fp`` holds the 64 bits of the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ``keep``, fp) per row of ``docs``; ``fp`` holds the 64 bits of the fingerprint as a signed long, ``keep`` names longs."""
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             marks = np.array([simhash(text, width) for text in batch["text"]], np.uint64)
-            yield pd.DataFrame({"id": batch["id"], "fp": marks.view(np.int64)})
+            yield pd.DataFrame({"id": batch["id"], **{c: batch[c] for c in keep}, "fp": marks.view(np.int64)})
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(mark, f"id {id_type}, fp long")
+    return docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text")).mapInPandas(mark, f"id {id_type}, " + "".join(f"{c} long, " for c in keep) + "fp long")
 
 
 # A tree is None for a leaf, or (vantage, distance, left, right).
@@ -176,6 +176,13 @@ def near_duplicate_links(distinct: DataFrame, radius: int = 4, blocks: int = 4,
     return dealt.groupBy("block", "leaf").applyInPandas(search, "a long, b long")
 
 
+def _components(marked: DataFrame, radius: int, blocks: int, shard_rows: int) -> DataFrame:
+    """(fp, component) for each fingerprint of ``marked``."""
+    distinct = written_once(marked.select("fp").distinct(), "distinct-fingerprints")
+    parts = connected_components(near_duplicate_links(distinct, radius, blocks, shard_rows))
+    return distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, blocks: int = 4, shard_rows: int = 40_000
 ) -> DataFrame:
@@ -187,9 +194,26 @@ def near_duplicates(
     empty table gives an empty result.
     """
     marked = written_once(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = written_once(marked.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
-    parts = connected_components(near_duplicate_links(distinct.select("fp"), radius, blocks, shard_rows))
-    parts = distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    lows = parts.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = parts.join(lows, "component").select(F.col("fp").alias("f"), "component_id")
+    parts = written_once(_components(marked, radius, blocks, shard_rows), "fingerprint-components")
+    low = marked.groupBy("fp").agg(F.min("id").alias("low")).join(parts, "fp").groupBy("component").agg(F.min("low").alias("component_id"))
+    named = parts.join(low, "component").select(F.col("fp").alias("f"), "component_id")
     return marked.join(named, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, blocks: int = 4, shard_rows: int = 40_000
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less all but one of each component of ``near_duplicates``.
+
+    The row of the smallest id stays (a null id only if there is no other), of rows that repeat an id the one whose text has
+    the smallest hash, of rows that repeat both any one.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    marked = written_once(fingerprints(texts, "id", "text", width, ("th",)), "fingerprints")
+    parts = written_once(_components(marked, radius, blocks, shard_rows), "fingerprint-components")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("first")
+    chosen = marked.groupBy("fp").agg(first).join(parts, "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.id", "first.th")
+    # Two components can only choose the same id and text if they are one, so a text is chosen once.
+    same = docs[id_col].eqNullSafe(chosen["id"]) & (F.xxhash64(docs[text_col]) == chosen["th"])
+    marked_rows = docs.join(chosen, same, "left_semi").withColumn("__th", F.xxhash64(text_col))
+    return marked_rows.dropDuplicates([id_col, "__th"]).drop("__th")
