@@ -51,9 +51,9 @@ def contaminated(spark, folder):
 LM_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 pairs AS (SELECT doc_id, CASE WHEN i = 1 THEN NULL ELSE w[i - 1] END AS a, w[i] AS b FROM d, unnest(range(1, len(w) + 1)) u(i)),
-counted AS (SELECT doc_id, count(*) OVER (PARTITION BY a, b) AS both, count(*) OVER (PARTITION BY a) AS firsts, count(*) OVER (PARTITION BY b) AS seconds, count(*) OVER () AS n FROM pairs),
+counted AS (SELECT doc_id, count(*) OVER (PARTITION BY a, b) AS n_both, count(*) OVER (PARTITION BY a) AS firsts, count(*) OVER (PARTITION BY b) AS seconds, count(*) OVER () AS n FROM pairs),
 scored AS (SELECT doc_id, count(*) AS n_words,
-    sum(round(16777216 * CASE WHEN both >= 2 THEN ln(both) - ln(firsts) ELSE (ln(0.4) + ln(seconds)) - ln(n) END)::BIGINT)::DOUBLE / 16777216 AS log_score
+    sum(round(16777216 * CASE WHEN n_both >= 2 THEN ln(n_both) - ln(firsts) ELSE (ln(0.4) + ln(seconds)) - ln(n) END)::BIGINT)::DOUBLE / 16777216 AS log_score
   FROM counted GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(log_score, 0.0) AS log_score, coalesce(log_score / n_words, 0.0) AS mean_log_score
 FROM d LEFT JOIN scored USING (doc_id)
