@@ -113,7 +113,7 @@ class Model:
         return recurrent.sigmoid(best)
 
 
-def train(texts: list[str | None], labels: np.ndarray, epochs: int = 8, steps: int = 400, rate: float = 0.01, batch: int = 64, max_words: int = 4000, seed: int = 1) -> Model:
+def train(texts: list[str | None], labels: np.ndarray, epochs: int = 3, steps: int = 400, rate: float = 0.01, batch: int = 64, max_words: int = 4000, seed: int = 1) -> Model:
     """A model of ``texts`` and their 0/1 ``labels``, trained for ``epochs`` and at least ``steps`` batches.
 
     With labels of one class or none it scores all texts alike.
