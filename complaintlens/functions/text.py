@@ -76,7 +76,11 @@ def clean_narrative(text: Column) -> Column:
 
 
 def clean_lowered(low: Column) -> Column:
-    """``clean_narrative`` for text already in lower case."""
+    """``clean_narrative`` for text already in lower case.
+
+    All white space becomes blanks first, since the expressions know that of ASCII only.
+    """
+    low = F.translate(low, WHITESPACE, " " * len(WHITESPACE))
     may_match = low.contains("complaint") | low.contains("concern")
     plain = F.when(
         may_match, F.regexp_replace(low, "|".join(BOILERPLATE_PATTERNS), " ")

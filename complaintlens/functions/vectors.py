@@ -41,6 +41,16 @@ def cosine(left: Column, right: Column) -> Column:
     return F.coalesce(F.try_divide(dot(left, right), norm(left) * norm(right)), F.lit(0.0))
 
 
+def is_finite(vector: Column) -> Column:
+    """True if no component is null, NaN or infinite."""
+    return F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+
+
+def check_finite(vector: Column) -> Column:
+    """The vector itself; the job fails on the first one with a component that is null, NaN or infinite."""
+    return F.when(is_finite(vector), vector).otherwise(F.raise_error(F.lit("vector is not finite")).cast("array<float>"))
+
+
 def check_width(vector: Column, width: int) -> Column:
     """The vector itself; the job fails on the first one of another width.
 

@@ -1,13 +1,14 @@
 """Exact cosine search over a table of vectors.
 
-One question: a score expression and ``orderBy.limit``. Many questions: blocks. Each task
-multiplies Arrow batches of vectors with the matrix of questions and keeps the best k per
-question over all its batches, so ``tasks * k * questions`` rows cross the shuffle and never
-a row per pair.
+Each task multiplies Arrow batches of vectors with the matrix of questions and keeps the best
+k per question over all its batches, so ``tasks * k * questions`` rows cross the shuffle and
+never a row per pair, and never a vector.
 
-The questions go to every task only if their vectors fit ``max_question_bytes``. Beyond that
-both sides are cut into blocks by hash and every block of vectors meets every block of
-questions in a task of its own (block nested loop, as in Zhang, Li and Jestes, EDBT 2012).
+The questions go to every task in slices whose vectors fit ``max_question_bytes``. There is one
+pass over the vectors per slice; the driver holds one slice at a time.
+
+A vector of another width or with a component that is null, NaN or infinite stops the job: it
+has no place in an order by score.
 
 Scores are computed in double and rounded to 12 decimals before ranking, so copies of a
 vector tie exactly and are ordered by id.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,14 +27,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from complaintlens.functions.vectors import check_width, cosine
-from complaintlens.session import local_if_small
+from complaintlens.session import settled, written_once
 
 DEFAULT_K = 5
 MAX_QUESTION_BYTES = 32 * 1024 * 1024
-# A block of vectors goes through the shuffle once per block of questions, so those are large.
-BLOCK_VECTORS = 100_000
-BLOCK_QUESTIONS = 20_000
 SCORE_DIGITS = 12
 MAX_SCORES = 8_000_000
 
@@ -49,8 +47,11 @@ def matrix_of(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def unit_matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """The rows at length one, a zero vector as it is; fails on one that is not finite."""
     matrix = matrix_of(column, width).astype("float64")
     lengths = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
+    if not np.isfinite(lengths).all():
+        raise ValueError("a vector is not finite")
     return np.divide(matrix, lengths, out=matrix, where=lengths > 0)
 
 
@@ -100,9 +101,10 @@ def top_k_single(
     k: int = DEFAULT_K,
 ) -> DataFrame:
     """Best k rows for one question vector: key, score. Fails on a vector of another width."""
-    wanted = F.lit([float(x) for x in question])
-    score = F.round(cosine(check_width(F.col(vector), len(question)), wanted), SCORE_DIGITS)
-    return vectors.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
+    column = pa.array([list(map(float, question))], pa.list_(pa.float64()))
+    schema = T.StructType([T.StructField("_q", T.LongType()), vectors.schema[key], T.StructField("score", T.DoubleType())])
+    hits = _candidates(vectors, pa.array([0]), unit_matrix(column, len(question)), schema, k, key, vector)
+    return hits.select(key, "score").orderBy(F.desc("score"), key).limit(k)
 
 
 def _hit_schema(vectors: DataFrame, key: str, questions: DataFrame, question_id: str) -> T.StructType:
@@ -140,34 +142,36 @@ def retrieve(
 ) -> DataFrame:
     """Best k vectors of each question: question_id, key, score, rank. Fewer if there are fewer.
 
-    ``key`` and ``question_id`` identify a row of their tables. The questions are fetched once, up to the bound, to decide between broadcast and blocks.
+    ``key`` and ``question_id`` identify a row of their tables. The questions are computed once and stored, and
+    fetched from there slice by slice.
     """
     if k < 1:
         raise ValueError(f"k must be at least 1, got {k}")
-    asked = questions.select(question_id, question_vector)
-    bound = max(1, max_question_bytes // (8 * width))
-    few = asked.limit(bound + 1).toArrow()
-    if few.num_rows <= bound:
-        candidates = _by_broadcast(vectors, asked, few, k, width, key, vector)
-    else:
-        candidates = retrieve_candidates_by_blocks(
-            vectors, asked, k, width, key, vector, question_id, question_vector
-        )
-    return _ranked(candidates, question_id, key, k)
-
-
-def _by_broadcast(
-    vectors: DataFrame, asked: DataFrame, few: pa.Table, k: int, width: int, key: str, vector: str
+    asked = written_once(questions.select(question_id, question_vector), "questions")
+    slices = max(1, math.ceil(asked.count() * 8 * width / max(1, max_question_bytes)))
+    schema = _hit_schema(vectors, key, questions, question_id)
+    # The content keeps questions that share an id from all falling into one slice.
+    number = F.pmod(F.xxhash64(question_id, question_vector), F.lit(slices))
+    found = []
+    for i in range(slices):
+        part = asked.filter(number == i).toArrow()
+        names = part.column(0).combine_chunks()
+        hits = _candidates(vectors, names, unit_matrix(part.column(1), width), schema, k, key, vector)
+        # Stored before the next slice is fetched; a single one need not be.
+        found.append(hits if slices == 1 else written_once(hits, "hits"))
+    return _ranked(reduce(DataFrame.unionByName, found), question_id, key, k)
+
+
+def _candidates(
+    vectors: DataFrame, names: pa.Array, questions: np.ndarray, schema: T.StructType, k: int, key: str, vector: str
 ) -> DataFrame:
-    names = few.column(0).combine_chunks()
-    matrix = unit_matrix(few.column(1), width)
-    schema = _hit_schema(vectors, key, asked, asked.columns[0])
+    """The best k of each task for each of the ``questions``, whose ids are ``names``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(schema)
+    arrow, width = to_arrow_schema(schema), questions.shape[1]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = BestHits(k, matrix)
+        found = BestHits(k, questions)
         for batch in batches:
             if batch.num_rows:
                 found.add(batch.column(0), unit_matrix(batch.column(1), width))
@@ -176,65 +180,17 @@ def _by_broadcast(
     return vectors.select(key, vector).mapInArrow(best, schema)
 
 
-def retrieve_candidates_by_blocks(
-    vectors: DataFrame,
-    asked: DataFrame,
-    k: int,
-    width: int,
-    key: str,
-    vector: str,
-    question_id: str,
-    question_vector: str,
-    block_vectors: int = BLOCK_VECTORS,
-    block_questions: int = BLOCK_QUESTIONS,
-) -> DataFrame:
-    """Best k per question and pair of blocks, for a question table too large to broadcast."""
-    vector_blocks = max(1, math.ceil(vectors.count() / block_vectors))
-    question_blocks = max(1, math.ceil(asked.count() / block_questions))
-
-    def block(column: str, content: str, n: int):
-        # The content keeps rows that share an id from all falling into one block.
-        return F.pmod(F.xxhash64(column, content), F.lit(n)).cast("int")
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = vectors.select(
-        key, vector, block(key, vector, vector_blocks).alias("_v"), every(question_blocks).alias("_q")
-    )
-    right = asked.select(
-        question_id,
-        question_vector,
-        block(question_id, question_vector, question_blocks).alias("_q"),
-        every(vector_blocks).alias("_v"),
-    )
-    schema = _hit_schema(vectors, key, asked, question_id)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
-
-    def best(stored: pa.Table, wanted: pa.Table) -> pa.Table:
-        if not stored.num_rows or not wanted.num_rows:
-            return arrow.empty_table()
-        found = BestHits(k, unit_matrix(wanted.column(question_vector), width))
-        for batch in stored.select([key, vector]).to_batches(max_chunksize=10_000):
-            found.add(batch.column(0), unit_matrix(batch.column(1), width))
-        return _as_table(found, wanted.column(question_id).combine_chunks(), arrow)
-
-    return left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q")).applyInArrow(best, schema)
-
-
 def attach_metadata(hits: DataFrame, metadata: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Hits with the metadata of their rows, null where there is none.
 
     ``metadata`` is first cut down to the keys that were hit. Hits of a batch of questions are
     few, so that cut is a broadcast join in the scan; if they are not, both are shuffled.
     """
-    small = local_if_small(hits)
-    if small is None:
-        return hits.join(metadata, key, "left")
-    kept = metadata.join(F.broadcast(small.select(key).distinct()), key, "left_semi")
-    return small.join(kept, key, "left")
+    stored, small = settled(hits, "hits")
+    if not small:
+        return stored.join(metadata, key, "left")
+    kept = metadata.join(F.broadcast(stored.select(key).distinct()), key, "left_semi")
+    return stored.join(kept, key, "left")
 
 
 def self_retrieval(

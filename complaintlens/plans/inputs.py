@@ -18,6 +18,7 @@ SELECT d.doc_id AS complaint_id,
   CASE WHEN d.doc_id % 23 = 0 THEN NULL
        WHEN d.doc_id % 29 = 0 THEN '   '
        WHEN d.doc_id % 31 = 0 THEN 'XXXX XX/XX/XXXX !!'
+       WHEN d.doc_id % 19 = 0 THEN concat('To whom it may\u00a0concern, I\u2003am writing\u3000to file a complaint about it. Paid on XX/XX/XXXX\u00a0again. ', d.text)
        WHEN d.doc_id % 5 = 0 THEN concat('To whom it may concern: I am writing to file a complaint about a fee. On XX/XX/XXXX my card XXXX1234 was charged $35. ', d.text)
        ELSE d.text END AS narrative,
   CASE WHEN d.doc_id % 17 = 0 THEN 'Debt collection'
@@ -97,7 +98,8 @@ def sql_clean(column: str) -> str:
         r"[^a-z0-9.,!?'\s]",
         r"\s+",
     ]
-    expression = f"lower({column})"
+    blanks = " " * len(T.WHITESPACE)
+    expression = f"translate(lower({column}), {sql_text(T.WHITESPACE)}, {sql_text(blanks)})"
     for pattern in steps:
         expression = f"regexp_replace({expression}, {sql_text(pattern)}, ' ', 'g')"
     return f"trim({expression})"

@@ -73,12 +73,28 @@ def l2_normalize(spark, folder):
 
 @query(
     "dim_violations",
-    f"SELECT count(*) AS n_vectors, count(*) FILTER (len(embedding) <> {WIDTH}) AS n_wrong_width FROM embeddings",
+    f"SELECT count(*) AS n_vectors, count(*) FILTER (len(embedding) <> {WIDTH}) AS n_wrong_width, 0::BIGINT AS n_non_finite FROM embeddings",
 )
 def dim_violations(spark, folder):
     return exports.width_violations(vectors(spark, folder), WIDTH)
 
 
+@query(
+    "non_finite",
+    f"""WITH dirty AS (SELECT CASE vec_id % 7 WHEN 0 THEN 'NaN'::FLOAT WHEN 1 THEN 'Infinity'::FLOAT WHEN 2 THEN NULL ELSE embedding[1] END AS x,
+  len(embedding) AS width FROM embeddings)
+SELECT count(*) AS n_vectors, count(*) FILTER (width <> {WIDTH}) AS n_wrong_width,
+  count(*) FILTER (x IS NULL OR NOT isfinite(x)) AS n_non_finite FROM dirty""",
+)
+def non_finite(spark, folder):
+    """All vectors, some with a NaN, an infinite or a missing component put in."""
+    kind = F.pmod("vec_id", F.lit(7))
+    first = F.when(kind == 0, F.lit(float("nan"))).when(kind == 1, F.lit(float("inf"))).when(kind == 2, F.lit(None))
+    first = first.otherwise(F.get("embedding", F.lit(0))).cast("float")
+    dirty = vectors(spark, folder).withColumn("embedding", F.concat(F.array(first), F.slice("embedding", 2, WIDTH)))
+    return exports.width_violations(dirty, WIDTH)
+
+
 # --- search ----------------------------------------------------------------
 
 
@@ -108,10 +124,10 @@ def topk_cosine_batch(spark, folder):
 
 @query("topk_cosine_block", _TOP5)
 def topk_cosine_block(spark, folder):
-    """The same with the questions held to be too many to broadcast."""
+    """The same with the questions in slices of about three."""
     hits = retrieval.retrieve(
         vectors(spark, folder), label_questions(spark, folder), 5, WIDTH, "vec_id", "embedding",
-        max_question_bytes=0,
+        max_question_bytes=3 * 8 * WIDTH,
     )
     return rounded_score(hits)
 
@@ -382,7 +398,8 @@ def vector_roundtrip(spark, folder):
 m AS (SELECT complaint_id AS k, count(*) AS n FROM cc GROUP BY 1),
 b AS (SELECT coalesce(v.n, 0) AS v, coalesce(m.n, 0) AS m FROM v FULL JOIN m USING (k))
 SELECT CAST(sum(v) AS BIGINT) AS n_vectors, CAST(sum(m) AS BIGINT) AS n_metadata,
-  count(*) FILTER (m = 0) AS only_vectors, count(*) FILTER (v = 0) AS only_metadata FROM b""",
+  count(*) FILTER (m = 0) AS only_vectors, count(*) FILTER (v = 0) AS only_metadata,
+  count(*) FILTER (v <> m) AS unequal_keys FROM b""",
 )
 def index_mismatch(spark, folder):
     stored = vectors(spark, folder).withColumnRenamed("vec_id", "complaint_id")
@@ -435,6 +452,67 @@ def schema_align(spark, folder):
     return exports.append_batches(first, second)
 
 
+@query(
+    "batches_union",
+    """SELECT event_id, event_type, value, NULL::BIGINT AS custkey, NULL AS status FROM events
+UNION ALL SELECT CAST(o_orderkey AS BIGINT), NULL, CAST(o_totalprice AS DOUBLE), CAST(o_custkey AS BIGINT), o_orderstatus FROM orders""",
+)
+def batches_union(spark, folder):
+    """A second export that lacks a column of the first and has two of its own."""
+    first = I.table(spark, folder, "events").select("event_id", "event_type", "value")
+    second = I.table(spark, folder, "orders").select(
+        F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("value"),
+        F.col("o_custkey").cast("long").alias("custkey"), F.col("o_orderkey").alias("event_id"),
+    )
+    return exports.append_batches(first, second)
+
+
+@query(
+    "expand_clash",
+    """SELECT event_id, event_type, user_id AS meta_event_id, value AS "meta_EVENT_TYPE", event_type AS "VOID" FROM events""",
+)
+def expand_clash(spark, folder):
+    """Metadata keys named like columns of the table, in JSON."""
+    keys = F.struct(F.col("user_id").alias("event_id"), F.col("value").alias("EVENT_TYPE"), F.col("event_type").alias("VOID"))
+    rows = I.table(spark, folder, "events").select("event_id", "event_type", F.to_json(keys).alias("meta"))
+    wide = exports.expand_metadata(rows, "meta")
+    # Numbers in JSON are typed by what they look like.
+    return wide.withColumns({"meta_event_id": F.col("meta_event_id").cast("long"), "meta_EVENT_TYPE": F.col("meta_EVENT_TYPE").cast("double")})
+
+
+@query(
+    "collection_new_column",
+    """SELECT concat(doc_id, '_0') AS chunk_id, lang, CASE WHEN lang <> 'en' THEN source END AS source FROM documents""",
+)
+def collection_new_column(spark, folder):
+    """The English documents, then all documents with a further column appended."""
+    rows = I.table(spark, folder, "documents").select(F.concat_ws("_", "doc_id", F.lit("0")).alias("chunk_id"), "lang", "source")
+    path = scratch_dir(spark, "collection")
+    name = "documents_" + path.rsplit("-", 1)[1]
+    collection.write_collection(rows.filter("lang = 'en'").drop("source"), name, path)
+    collection.write_collection(rows, name, reset=False)
+    return spark.table(name)
+
+
+@query(
+    "search_without_id",
+    """WITH q AS (SELECT vec_id, embedding AS v FROM embeddings WHERE vec_id < 8),
+s AS (SELECT q.vec_id AS question_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.v::DOUBLE[]), 12) AS score FROM embeddings e, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT question_id, concat('vector ', vec_id) AS chunk_text, round(score, 6) AS score FROM r WHERE rank = 1""",
+)
+def search_without_id(spark, folder):
+    """An export without an id column: its rows are told apart by file and place."""
+    stored = vectors(spark, folder)
+    export = stored.select(F.concat(F.lit("vector "), "vec_id").alias("text"), "embedding")
+    index = exports.build_index(spark, written(export, "export-without-id"), WIDTH)
+    questions = stored.filter("vec_id < 8").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("question_vec"))
+    path = written(index, "index")
+    table = exports.load_embeddings(spark, path)
+    hits = retrieval.attach_metadata(retrieval.retrieve(table, questions, 1, WIDTH), table.drop("embedding"))
+    return rounded_score(hits).select("question_id", "chunk_text", "score")
+
+
 @query(
     "collection_append",
     f"""{I.WITH_CLEAN} SELECT concat(complaint_id, '_0') AS chunk_id, product_category,

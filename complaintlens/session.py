@@ -64,11 +64,12 @@ def local_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFra
 def settled(df: DataFrame, purpose: str, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """``df`` computed once, and whether it is small enough to be broadcast.
 
-    Up to ``max_rows`` rows are held by the driver. More are written to the scratch folder;
-    joins with them are then left to a shuffle, and skew to adaptive execution.
+    It is written to the scratch folder. Up to ``max_rows`` rows are then held by the driver; joins with
+    more are left to a shuffle, and skew to adaptive execution.
     """
-    small = local_if_small(df, max_rows)
-    return (written_once(df, purpose), False) if small is None else (small, True)
+    stored = written_once(df, purpose)
+    small = local_if_small(stored, max_rows)
+    return (stored, False) if small is None else (small, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -34,12 +34,14 @@ def read_complaints_csv(
 ) -> DataFrame:
     """A CSV with a header as strings, cells that mean missing as null.
 
-    ``columns`` are the header names; with them no pass over the data is needed to infer a
+    Each file's header must have the names of ``columns`` in that order, and each row as many cells; the job fails
+    on another file or row rather than reading cells under wrong names or dropping some. With ``columns`` no pass over the data is needed to infer a
     schema. A file with line ends inside cells cannot be split, so each file is one task:
     export in many files, and go on from parquet (``write_clean``) after the first read.
     """
     schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
-    raw = spark.read.options(multiLine=str(multi_line).lower(), **_CSV).schema(schema).csv(path)
+    strict = {"enforceSchema": "false", "mode": "FAILFAST", "columnPruning": "false"}
+    raw = spark.read.options(multiLine=str(multi_line).lower(), **_CSV, **strict).schema(schema).csv(path)
     cells = [
         F.when(F.col(f"`{name}`").isin(*NULL_TOKENS), F.lit(None))
         .otherwise(F.col(f"`{name}`"))

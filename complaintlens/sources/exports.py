@@ -7,12 +7,13 @@ not touch the vectors, since parquet reads only the columns asked for.
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from complaintlens.functions.vectors import check_width, l2_normalize
+from complaintlens.functions.vectors import check_finite, check_width, is_finite, l2_normalize
 from complaintlens.sources.columns import (
     TEXT_NAMES,
     VECTOR_NAMES,
@@ -21,12 +22,27 @@ from complaintlens.sources.columns import (
     resolve_column,
 )
 
+ROW_ID = "chunk_id"
+
 
 def read_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, VectorColumns]:
-    """The needed columns of a parquet export and where they are. Others are not read."""
+    """The needed columns of a parquet export and where they are. Others are not read.
+
+    An export without an id gets one, ``chunk_id``, from the file and the place in it of each row. It stays the
+    same as long as the files do.
+    """
     raw = spark.read.parquet(path)
     found = detect_schema(raw.columns)
-    return raw.select(*[f"`{name}`" for name in found.needed()]), found
+    needed = [F.col(f"`{name}`") for name in found.needed()]
+    if found.id is None:
+        needed.append(row_id())
+        found = replace(found, id=ROW_ID)
+    return raw.select(*needed), found
+
+
+def row_id() -> Column:
+    """File and row of a scan as text."""
+    return F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias(ROW_ID)
 
 
 def load_embeddings(spark: SparkSession, path: str) -> DataFrame:
@@ -47,23 +63,33 @@ def json_schema(df: DataFrame, column: str) -> str | None:
     text = df.agg(F.schema_of_variant_agg(objects)).first()[0]
     if not text or not text.startswith("OBJECT<") or text == "OBJECT<>":
         return None
-    # Keys that are null throughout have no type of their own.
-    return re.sub(r"\bVOID\b", "STRING", re.sub(r"\bOBJECT<", "STRUCT<", text))
+    # Types stand after a colon, after ARRAY< or at the start; a key can have the same name. Keys that are null
+    # throughout have no type of their own.
+    text = re.sub(r"(^|: |ARRAY<)OBJECT<", r"\1STRUCT<", text)
+    return re.sub(r"(: |ARRAY<)VOID(?=[,>])", r"\1STRING", text)
 
 
 def expand_metadata(df: DataFrame, column: str) -> DataFrame:
     """One column per key of a struct column or of a column of JSON texts; the column itself goes.
 
-    A text that is not a JSON object gives nulls. A key named like a column of the table is
-    left out.
+    A text that is not a JSON object gives nulls. A key named like a column of the table or an earlier
+    key, case aside, is kept under ``{column}_{key}``.
     """
     if not isinstance(df.schema[column].dataType, T.StructType):
         schema = json_schema(df, column)
         if schema is None:
             return df.drop(column)
         df = df.withColumn(column, F.from_json(F.col(column), schema))
-    keys = [name for name in df.schema[column].dataType.names if name not in df.columns]
-    return df.select("*", *[F.col(column)[key].alias(key) for key in keys]).drop(column)
+    taken = {name.lower() for name in df.columns if name != column}
+    names = []
+    for key in df.schema[column].dataType.names:
+        while key.lower() in taken:
+            key = f"{column}_{key}"
+        taken.add(key.lower())
+        names.append(key)
+    kept = [F.col(f"`{name}`") for name in df.columns if name != column]
+    # By place, since keys that differ in case only cannot be told apart by name.
+    return df.select(*kept, F.inline(F.array(F.col(f"`{column}`"))).alias(*names))
 
 
 def chunk_vectors(df: DataFrame, found: VectorColumns) -> DataFrame:
@@ -72,14 +98,16 @@ def chunk_vectors(df: DataFrame, found: VectorColumns) -> DataFrame:
     names = {found.text: "chunk_text", found.vector: "embedding"}
     if found.id:
         names[found.id] = "chunk_id"
-    taken = set(names.values())
-    kept = [c for c in wide.columns if c in names or c not in taken]
-    return wide.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in kept])
+    # Another column that already has one of the common names is kept under ``source_{name}``.
+    taken = {name.lower() for name in names.values()}
+    return wide.select(
+        *[F.col(f"`{c}`").alias(names.get(c) or (f"source_{c}" if c.lower() in taken else c)) for c in wide.columns]
+    )
 
 
 def checked_index(df: DataFrame, width: int, normalize: bool = True) -> DataFrame:
-    """Vectors of the right width, at length one, as ``array<float>``; the job fails on another width."""
-    vector = check_width(F.col("embedding").cast("array<float>"), width)
+    """Vectors at length one, as ``array<float>``; the job fails on another width, null, NaN or infinity."""
+    vector = check_finite(check_width(F.col("embedding").cast("array<float>"), width))
     if normalize:
         vector = l2_normalize(vector)
     return df.withColumn("embedding", vector.cast("array<float>"))
@@ -92,10 +120,11 @@ def build_index(spark: SparkSession, path: str, width: int, normalize: bool = Tr
 
 
 def width_violations(df: DataFrame, width: int, vector: str = "embedding") -> DataFrame:
-    """Number of vectors, and of those without a vector of the given width."""
+    """Number of vectors, of those without a vector of the given width, and of those that are not finite."""
     size = F.coalesce(F.size(vector), F.lit(-1))
     return df.agg(
-        F.count(F.lit(1)).alias("n_vectors"), F.count_if(size != width).alias("n_wrong_width")
+        F.count(F.lit(1)).alias("n_vectors"), F.count_if(size != width).alias("n_wrong_width"),
+        F.count_if(~is_finite(F.col(vector))).alias("n_non_finite"),
     )
 
 
@@ -126,21 +155,20 @@ def fill_metadata(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def align_to_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """A later batch with the columns, types and order of the first; missing columns are null."""
+    """A later batch with the columns, types and order of the first; missing columns are null, further ones follow."""
     have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema
-        ]
-    )
+    known = [
+        (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in schema
+    ]
+    return df.select(*known, *[F.col(f"`{c}`") for c in df.columns if c not in schema.names])
 
 
 def append_batches(first: DataFrame, *later: DataFrame) -> DataFrame:
-    """Batches of one export under the schema of the first."""
+    """Batches of one export with the union of their columns, under the types of the batch that has a column first."""
     result = first
     for batch in later:
-        result = result.unionByName(align_to_schema(batch, first.schema))
+        result = result.unionByName(align_to_schema(batch, result.schema), allowMissingColumns=True)
     return result
 
 
@@ -159,12 +187,13 @@ def key_differences(vectors: DataFrame, metadata: DataFrame, key: str = "chunk_i
 
 
 def index_mismatch(vectors: DataFrame, metadata: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Row counts of both tables and the numbers of keys only one of them has."""
+    """Row counts of both tables, the numbers of keys only one of them has, and of keys not equally often in both."""
     return _key_counts(vectors, metadata, key).agg(
         F.coalesce(F.sum("n_vectors"), F.lit(0)).alias("n_vectors"),
         F.coalesce(F.sum("n_metadata"), F.lit(0)).alias("n_metadata"),
         F.count_if(F.col("n_metadata") == 0).alias("only_vectors"),
         F.count_if(F.col("n_vectors") == 0).alias("only_metadata"),
+        F.count_if(F.col("n_vectors") != F.col("n_metadata")).alias("unequal_keys"),
     )
 
 
@@ -174,10 +203,11 @@ def load_index_and_metadata(
     """Both tables, refused if their keys differ."""
     left, right = spark.read.parquet(vectors), spark.read.parquet(metadata)
     check = index_mismatch(left, right, key).first()
-    if check.n_vectors != check.n_metadata or check.only_vectors or check.only_metadata:
+    if check.unequal_keys:
         raise ValueError(
             f"vectors and metadata differ: {check.n_vectors} vectors, {check.n_metadata} metadata rows, "
-            f"{check.only_vectors} keys only with a vector, {check.only_metadata} only with metadata; "
+            f"{check.only_vectors} keys only with a vector, {check.only_metadata} only with metadata, "
+            f"{check.unequal_keys} not equally often in both; "
             "build both again"
         )
     return left, right

@@ -8,13 +8,18 @@ job goes on where it stopped and writes no row twice.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from complaintlens.session import scratch_dir
 from complaintlens.sources.columns import detect_schema
-from complaintlens.sources.exports import align_to_schema, checked_index, chunk_vectors
+from complaintlens.sources.exports import ROW_ID, align_to_schema, checked_index, chunk_vectors, row_id
+
+KEPT_REPORTS = 100_000
 
 
 def vectors_stream(
@@ -25,21 +30,33 @@ def vectors_stream(
     normalize: bool = True,
     files_per_batch: int | None = None,
     target: T.StructType | None = None,
+    metadata_schema: T.StructType | None = None,
 ) -> DataFrame:
     """The checked and normalised rows of an export folder as a stream.
 
-    Nested metadata must be a struct here: the keys of JSON texts are only known after
-    reading them all.
+    The keys of metadata in JSON texts are only known after reading them all, so their ``metadata_schema``
+    must be given. Columns that ``target`` does not have are refused.
     """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     raw = reader.parquet(source)
     found = detect_schema(raw.columns)
-    if found.nested and not isinstance(schema[found.nested].dataType, T.StructType):
-        raise ValueError(f"column {found.nested!r} must be a struct to be streamed")
-    rows = checked_index(chunk_vectors(raw.select(*found.needed()), found), width, normalize)
-    return align_to_schema(rows, target) if target else rows
+    if found.nested and not metadata_schema and not isinstance(schema[found.nested].dataType, T.StructType):
+        raise ValueError(f"column {found.nested!r} must be a struct to be streamed, or its metadata_schema be given")
+    needed = [F.col(f"`{name}`") for name in found.needed()]
+    if found.id is None:
+        needed.append(row_id())
+        found = replace(found, id=ROW_ID)
+    raw = raw.select(*needed)
+    if found.nested and metadata_schema:
+        raw = raw.withColumn(found.nested, F.from_json(F.col(f"`{found.nested}`"), metadata_schema))
+    rows = checked_index(chunk_vectors(raw, found), width, normalize)
+    if target is None:
+        return rows
+    if further := [name for name in rows.columns if name not in target.names]:
+        raise ValueError(f"the target table has no columns {further}")
+    return align_to_schema(rows, target)
 
 
 def ingest_vectors_stream(
@@ -52,13 +69,16 @@ def ingest_vectors_stream(
     normalize: bool = True,
     files_per_batch: int | None = None,
     target: T.StructType | None = None,
+    metadata_schema: T.StructType | None = None,
 ) -> StreamingQuery:
     """Starts a run over all files not ingested yet; it ends by itself.
 
     Pass the ``checkpoint`` of the table to go on with it in a later run; without one a new
     folder is used and the run stands alone.
     """
-    rows = vectors_stream(spark, source, schema, width, normalize, files_per_batch, target)
+    # Otherwise only the last 100 reports of a run are kept, and its progress would be counted too low.
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(KEPT_REPORTS))
+    rows = vectors_stream(spark, source, schema, width, normalize, files_per_batch, target, metadata_schema)
     return (
         rows.writeStream.format("parquet")
         .option("path", table_path)
@@ -69,6 +89,8 @@ def ingest_vectors_stream(
 
 
 def progress(query: StreamingQuery) -> dict[str, int]:
-    """Batches and rows read so far."""
+    """Batches and rows read so far by a run; refused if it has reported more often than is kept."""
     done = query.recentProgress
+    if len(done) >= KEPT_REPORTS:
+        raise RuntimeError(f"the run has {KEPT_REPORTS} reports or more; count the rows of the table instead")
     return {"batches": len(done), "rows": sum(int(p["numInputRows"]) for p in done)}
