@@ -91,19 +91,14 @@ def source_card_html(
     number: Column, product: Column, company: Column, text: Column, score: Column
 ) -> Column:
     """One source as an HTML card. ``text`` is the cut snippet, ``product`` has its default."""
-    color = product_color(product)
-    relevance = F.when(
-        score.isNotNull(), F.concat(F.lit("· relevance "), score_label(score))
-    ).otherwise(F.lit(""))
     maker = F.when(
-        F.coalesce(company, F.lit("")) != "", F.concat(F.lit(" · "), company)
+        F.coalesce(company, F.lit("")) != "", F.concat(F.lit("<b>"), company, F.lit("</b> "))
+    ).otherwise(F.lit(""))
+    rated = F.when(
+        score.isNotNull(), F.concat(F.lit("<i>score "), score_label(score), F.lit("</i>"))
     ).otherwise(F.lit(""))
     return F.concat(
-        F.lit('<div class="source-card" style="border-left-color:'), color, F.lit('">'),
-        F.lit('<div class="source-header"><span class="source-num">Source '),
-        number.cast("string"),
-        F.lit('</span><span class="source-tag" style="background:'), color, F.lit("22;color:"),
-        color, F.lit('">'), product_icon(product), F.lit(" "), product,
-        F.lit('</span><span class="source-meta">'), maker, F.lit(" "), relevance,
-        F.lit('</span></div><div class="source-text">'), text, F.lit("</div></div>"),
+        F.lit('<article><h4 style="color:'), product_color(product), F.lit('">'),
+        number.cast("string"), F.lit(". "), product_icon(product), F.lit(" "), product,
+        F.lit("</h4><p>"), maker, rated, F.lit("</p><blockquote>"), text, F.lit("</blockquote></article>"),
     )

@@ -21,6 +21,7 @@ SYSTEM_CONTEXT = (
 )
 EXCERPTS_LINE = "Customer complaint excerpts:"
 DEFAULT_ORGANISATION = "a financial company"
+PROMPTS_PER_TASK = 16
 EMPTY_QUESTION_NOTE = "Please enter a question above, or click one of the examples."
 
 Generate = Callable[[str], "str | None"]
@@ -61,22 +62,32 @@ def build_prompts(
 
     A group holds the retrieved sources of one question, so at most k rows.
     """
-    blocks = (
-        source_blocks(sources)
-        .groupBy(question_id)
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("_blocks"))
-        .select(question_id, F.array_join(F.col("_blocks.block"), "\n\n").alias("_context"))
-    )
-    context = F.coalesce(F.col("_context"), F.lit(""))
+    told = with_sources(questions, sources, question_id)
+    return told.withColumn("prompt", prompt_text("_blocks", question, organisation, system_context)).drop("_blocks", "sources")
+
+
+def prompt_text(blocks: str, question: str, organisation: str, system_context: str = SYSTEM_CONTEXT) -> Column:
+    """The prompt of a question from the array of its source blocks (null without sources)."""
     opening = system_context.format(organisation=organisation)
-    prompt = F.concat(
+    return F.concat(
         F.lit(f"{opening}\n\n{EXCERPTS_LINE}\n\n"),
-        context,
+        F.coalesce(F.array_join(blocks, "\n\n"), F.lit("")),
         F.lit("\n\nQuestion: "),
         F.coalesce(F.col(question), F.lit("")),
         F.lit("\n\nAnswer:"),
     )
-    return questions.join(blocks, question_id, "left").withColumn("prompt", prompt).drop("_context")
+
+
+def with_sources(questions: DataFrame, sources: DataFrame, question_id: str = "question_id") -> DataFrame:
+    """Adds ``sources``, the retrieved rows of a question as an array by rank, and ``_blocks``, their texts for a prompt.
+
+    One grouping and one join; a group holds the retrieved sources of one question, so at most k rows.
+    """
+    rest = [F.col(f"`{c}`") for c in sources.columns if c not in (question_id, "rank")]
+    row = F.struct("rank", F.struct("rank", *rest).alias("source"), "block")
+    grouped = source_blocks(sources).groupBy(question_id).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    grouped = grouped.select(question_id, F.col("_rows.source").alias("sources"), F.col("_rows.block").alias("_blocks"))
+    return questions.join(grouped, question_id, "left")
 
 
 def first_sentence(prompt: str) -> str:
@@ -129,14 +140,6 @@ def generate_with_fallback(
     return generate(df, both, prompt, output)
 
 
-def source_structs(sources: DataFrame, question_id: str = "question_id") -> DataFrame:
-    """``sources`` per question: its retrieved rows as an array, by rank."""
-    rest = [F.col(c) for c in sources.columns if c not in (question_id, "rank")]
-    return sources.groupBy(question_id).agg(
-        F.array_sort(F.collect_list(F.struct("rank", *rest))).alias("sources")
-    )
-
-
 def answer_questions(
     questions: DataFrame,
     sources: DataFrame,
@@ -149,15 +152,16 @@ def answer_questions(
     """Answer, sources and prompt of each question. Blank questions get status ``empty`` and no answer."""
     marked = question_status(questions, question)
     asked = marked.filter(F.col("status") == "ok")
-    prompts = build_prompts(asked, sources, question_id, question, organisation)
-    # Prompts are small but slow to answer: over all cores, however few bytes they are.
-    prompts = prompts.repartition(questions.sparkSession.sparkContext.defaultParallelism, question_id)
+    prompts = with_sources(asked, sources, question_id)
+    prompts = prompts.withColumn("prompt", prompt_text("_blocks", question, organisation)).drop("_blocks")
+    # Prompts are small but slow to answer, so their number rather than their bytes decides on the tasks.
+    tasks = max(1, -(-asked.count() // PROMPTS_PER_TASK))
+    prompts = prompts.repartition(tasks, question_id)
     if fallback is None:
         answered = generate(prompts, factory)
     else:
         answered = generate_with_fallback(prompts, factory, fallback)
-    told = answered.join(source_structs(sources, question_id), question_id, "left")
-    return told.unionByName(marked.filter(F.col("status") == "empty"), allowMissingColumns=True)
+    return answered.unionByName(marked.filter(F.col("status") == "empty"), allowMissingColumns=True)
 
 
 def numbered_sources(answers: DataFrame, question_id: str = "question_id") -> DataFrame:

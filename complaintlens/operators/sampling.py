@@ -1,11 +1,11 @@
 """Reproducible stratified sampling.
 
 Rows of a category are ranked by ``md5(seed:key)`` and the first ones kept, so the sample
-is the same whatever the partitioning. Ranking a category as a whole would sort it in one
-task; instead each category is cut into slices of the hash range. Counting rows per slice
-tells how many rows each slice gives: all up to the one in which the target is reached,
-none after it. Rows of slices that give none are dropped in the scan, by a broadcast join,
-and the rest is ranked within its slice.
+is the same whatever the partitioning. No category is sorted for that: rows are counted per
+category and slice of the hash range, which tells the slice in which a category reaches its
+target; that slice is cut into finer ones until it holds few rows. Only keys and hashes of
+those few are ranked, to find the last hash of the sample. The sample itself is a filter by
+that hash in the scan; no row of full width is shuffled or sorted.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from complaintlens.functions.text import round_even
 from complaintlens.session import settled
 
 DEFAULT_SLICES = 1024
-_HASH_RANGE = 2**32
+# Rows of a category whose hashes are sorted in one task at most, unless hashes agree in 60 bits.
+MAX_RANKED = 10_000
+_HASH_BITS = 60
 
 
 def sample_hash(key: Column, seed: int) -> Column:
@@ -56,49 +58,59 @@ def stratified_sample(
     seed: int = 42,
     shuffle: bool = False,
     slices: int = DEFAULT_SLICES,
+    max_ranked: int = MAX_RANKED,
 ) -> DataFrame:
     """About ``target_n`` rows without replacement, in the proportions of ``strat_col``.
 
-    ``key`` identifies a row. With ``shuffle`` the sample comes in an order that the seed
-    determines. All targets 0 give an empty frame. ``df`` is read twice, first for its key
-    and category only, so it should be a stored table.
+    ``key`` identifies a row; rows that share one are taken together, and rows without one are told
+    apart by their content. With ``shuffle`` the sample comes in an order that the seed determines.
+    All targets 0 give an empty frame. ``df`` is read several times, mostly for its key and category
+    only, so it should be a stored table.
     """
     _require(df, strat_col)
-    leading = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double")
-    hashed = (
-        df.filter(F.col(strat_col).isNotNull())
-        .withColumn("_hash", sample_hash(F.col(key), seed))
-        # The leading 32 bits of the hash, scaled: slices follow the order of the hash. Rows
-        # without a key, whose hash is null and sorts first, are in the first slice.
-        .withColumn("_slice", F.coalesce(F.floor(leading * slices / _HASH_RANGE).cast("int"), F.lit(0)))
-    )
-    per_slice, small = settled(
-        hashed.groupBy(strat_col, "_slice").agg(F.count(F.lit(1)).alias("_rows")), "slices"
+    content = F.concat(F.lit("row "), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string"))
+    hashed = df.filter(F.col(strat_col).isNotNull()).withColumn(
+        "_hash", sample_hash(F.coalesce(F.col(key).cast("string"), content), seed)
     )
-    targets = _with_targets(
-        per_slice.groupBy(strat_col).agg(F.sum("_rows").alias("n")),
-        per_slice.agg(F.sum("_rows")).scalar(),
-        target_n,
-    ).select(strat_col, "target")
-    # A frame holds the counted slices of a category, at most ``slices`` rows.
-    so_far = Window.partitionBy(strat_col).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_slice.withColumn("_before", F.coalesce(F.sum("_rows").over(so_far), F.lit(0)))
-    quotas = (
-        before.join(targets, strat_col)
-        .select(
-            strat_col, "_slice", F.least("_rows", F.col("target") - F.col("_before")).alias("_quota")
+    hashed = hashed.withColumn("_at", F.conv(F.substring("_hash", 1, _HASH_BITS // 4), 16, 10).cast("long"))
+    narrow = hashed.select(F.col(strat_col).alias("_stratum"), F.col(key).alias("_key"), "_hash", "_at")
+
+    edges, small, width = None, True, 1 << _HASH_BITS
+    while edges is None or (width > 1 and slices > 1 and not edges.filter(F.col("_rows") > max_ranked).isEmpty()):
+        step = max(1, -(-width // slices))
+        within = narrow if edges is None else _within(narrow, edges, small, width)
+        base = F.lit(0) if edges is None else F.col("_low")
+        counts, _ = settled(
+            within.groupBy("_stratum", F.floor((F.col("_at") - base) / step).alias("_slice")).agg(F.count(F.lit(1)).alias("_rows")), "slices"
         )
-        .filter(F.col("_quota") > 0)
-    )
-    chosen = hashed.join(F.broadcast(quotas) if small else quotas, [strat_col, "_slice"])
-    # Slices are of even size, so these frames are too, also where one category has most rows.
-    in_slice = Window.partitionBy(strat_col, "_slice").orderBy("_hash", key)
-    sample = chosen.withColumn("_rank", F.row_number().over(in_slice)).filter(
-        F.col("_rank") <= F.col("_quota")
-    )
+        if edges is None:
+            n = counts.groupBy("_stratum").agg(F.sum("_rows").alias("n"))
+            targets = _with_targets(n, counts.agg(F.sum("_rows")).scalar(), target_n)
+            edges = targets.select("_stratum", F.col("target").alias("_need"), F.lit(0).cast("long").alias("_low"))
+        # A frame holds the counted slices of a category, at most ``slices`` rows.
+        so_far = Window.partitionBy("_stratum").orderBy("_slice")
+        reached = counts.withColumn("_upto", F.sum("_rows").over(so_far)).join(edges.select("_stratum", "_need", "_low"), "_stratum")
+        reached = reached.filter((F.col("_need") > 0) & (F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_rows") < F.col("_need")))
+        edges, small = settled(
+            reached.select("_stratum", (F.col("_need") - F.col("_upto") + F.col("_rows")).alias("_need"), (F.col("_low") + F.col("_slice") * step).alias("_low"), "_rows"), "edges"
+        )
+        width = step
+
+    order = Window.partitionBy("_stratum").orderBy("_hash", "_key")
+    last = _within(narrow, edges, small, width).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") == F.col("_need"))
+    last, small = settled(last.select("_stratum", F.col("_hash").alias("_last_hash"), F.col("_key").alias("_last_key")), "last")
+    sample = hashed.join(F.broadcast(last) if small else last, F.col(strat_col) == F.col("_stratum"))
+    same = (F.col("_hash") == F.col("_last_hash")) & F.coalesce(F.col(key) <= F.col("_last_key"), F.lit(True))
+    sample = sample.filter((F.col("_hash") < F.col("_last_hash")) | same)
     if shuffle:
         sample = sample.orderBy("_hash", key)
-    return sample.select(*df.columns)
+    return sample.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _within(narrow: DataFrame, edges: DataFrame, small: bool, width: int) -> DataFrame:
+    """The rows of each category from its ``_low`` on, ``width`` hashes wide."""
+    joined = narrow.join(F.broadcast(edges) if small else edges, "_stratum")
+    return joined.filter((F.col("_at") >= F.col("_low")) & (F.col("_at") < F.col("_low") + F.lit(width)))
 
 
 def sampling_summary(original: DataFrame, sample: DataFrame, strat_col: str) -> DataFrame:

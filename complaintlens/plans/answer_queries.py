@@ -45,7 +45,7 @@ def index(spark: SparkSession, folder: str) -> DataFrame:
 
 def sources(spark: SparkSession, folder: str) -> DataFrame:
     asked = filter_with_text(questions(spark, folder), "question")
-    vectors = jobs.embed_questions(asked, width=WIDTH)
+    vectors = jobs.embed_questions(asked, width=WIDTH, clean=True)
     return jobs.find_sources(index(spark, folder), vectors, OPTIONS)
 
 
@@ -165,11 +165,9 @@ _CARDS = f"""{_LISTED}, cards AS (SELECT question_id, rank AS source_number,
   CASE WHEN length(body) > 300 THEN concat(substring(body, 1, 297), '...') ELSE body END AS snippet,
   CASE WHEN score IS NULL THEN '' ELSE printf('%.2f', score) END AS score_label,
   {_map_sql(D.PRODUCT_COLORS, D.OTHER_COLOR)} AS color, {_map_sql(D.PRODUCT_ICONS, D.OTHER_ICON)} AS icon FROM texts)"""
-_CARD_HTML = """concat('<div class="source-card" style="border-left-color:', color, '"><div class="source-header"><span class="source-num">Source ',
-  source_number, '</span><span class="source-tag" style="background:', color, '22;color:', color, '">', icon, ' ', product,
-  '</span><span class="source-meta">', CASE WHEN company = '' THEN '' ELSE concat(' · ', company) END, ' ',
-  CASE WHEN score_label = '' THEN '' ELSE concat('· relevance ', score_label) END,
-  '</span></div><div class="source-text">', snippet, '</div></div>')"""
+_CARD_HTML = """concat('<article><h4 style="color:', color, '">', source_number, '. ', icon, ' ', product, '</h4><p>',
+  CASE WHEN company = '' THEN '' ELSE concat('<b>', company, '</b> ') END,
+  CASE WHEN score_label = '' THEN '' ELSE concat('<i>score ', score_label, '</i>') END, '</p><blockquote>', snippet, '</blockquote></article>')"""
 
 
 @query("source_cards", f"{_CARDS} SELECT *, {_CARD_HTML} AS html FROM cards")
@@ -205,7 +203,7 @@ def rag_prompts(spark, folder):
 UNION ALL SELECT question_id, question, 'empty', NULL, 0 FROM asked WHERE NOT {I.sql_has_text('question')}""",
 )
 def rag_answers(spark, folder):
-    told = jobs.answer(index(spark, folder), questions(spark, folder), OPTIONS)
+    told = jobs.answer(index(spark, folder), questions(spark, folder), OPTIONS, clean_questions=True)
     return told.select(
         "question_id",
         "question",
@@ -220,7 +218,7 @@ def rag_answers(spark, folder):
     f"{_FOUND} SELECT question_id, rank AS source_number, chunk_id, product_category, company FROM src",
 )
 def numbered_sources(spark, folder):
-    told = jobs.answer(index(spark, folder), questions(spark, folder), OPTIONS)
+    told = jobs.answer(index(spark, folder), questions(spark, folder), OPTIONS, clean_questions=True)
     return prompts.numbered_sources(told).select(
         "question_id", "source_number", "chunk_id", "product_category", "company"
     )
@@ -313,7 +311,7 @@ def chunk_answers(spark, folder):
     )
     path = scratch_dir(spark, "chunk-index")
     embedding.embed(chunks, "chunk_text", embedding.hashed(WIDTH)).write.parquet(path)
-    told = jobs.answer(spark.read.parquet(path), questions(spark, folder), OPTIONS)
+    told = jobs.answer(spark.read.parquet(path), questions(spark, folder), OPTIONS, clean_questions=True)
     return told.select(
         "question_id", "status", "answer", F.array_join("sources.chunk_id", ",").alias("chunk_ids")
     )

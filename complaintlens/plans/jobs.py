@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from complaintlens.functions.text import clean_narrative
 from complaintlens.operators.chunking import chunk_documents
 from complaintlens.operators.embedding import EmbedderFactory, embed, hashed
 from complaintlens.operators.prepare import filter_with_text, prepare_complaints
-from complaintlens.operators.prompts import GeneratorFactory, answer_questions, extractive
+from complaintlens.operators.prompts import DEFAULT_ORGANISATION, Generate, answer_questions, extractive
 from complaintlens.operators.retrieval import attach_metadata, retrieve
 from complaintlens.operators.sampling import stratified_sample
 from complaintlens.options import JobOptions
@@ -22,6 +24,8 @@ from complaintlens.sources.columns import (
 )
 from complaintlens.sources.complaints import CLEAN_COLUMNS
 
+ROWS_PER_TASK = 500
+
 
 def clean_complaints(raw: DataFrame) -> DataFrame:
     """Raw complaints to the cleaned table, in one narrow stage."""
@@ -34,10 +38,8 @@ def chunks_with_vectors(
     """Cleaned table to a stratified sample, its chunks and their vectors."""
     key = id_column_fallback(cleaned)
     sample = stratified_sample(cleaned, "product_category", options.sample_size, key, options.seed)
-    cores = cleaned.sparkSession.sparkContext.defaultParallelism
-    if options.sample_size < cores * options.batch_rows:
-        # Few bytes come in few partitions, but embedding is slow per row.
-        sample = sample.repartition(cores, key)
+    # A sample has few bytes, but embedding is slow per row.
+    sample = sample.repartition(max(1, -(-options.sample_size // ROWS_PER_TASK)), key)
     chunks = chunk_documents(
         sample,
         text_column_fallback(sample),
@@ -51,9 +53,9 @@ def chunks_with_vectors(
 
 def embed_questions(
     questions: DataFrame, question: str = "question", factory: EmbedderFactory | None = None,
-    width: int = JobOptions.vector_width, clean: bool = True,
+    width: int = JobOptions.vector_width, clean: bool = False,
 ) -> DataFrame:
-    """Adds ``question_vec``. With ``clean`` the text is first cleaned as the narratives are."""
+    """Adds ``question_vec``, of the question as asked or, with ``clean``, cleaned as the narratives are."""
     text = clean_narrative(F.col(question)) if clean else F.col(question)
     vectors = embed(questions.withColumn("_text", text), "_text", factory or hashed(width), "question_vec")
     return vectors.drop("_text")
@@ -72,11 +74,18 @@ def answer(
     questions: DataFrame,
     options: JobOptions = JobOptions(),
     embedder: EmbedderFactory | None = None,
-    generator: GeneratorFactory = extractive,
-    fallback: GeneratorFactory | None = None,
+    generator: Callable[[JobOptions], Generate] = lambda options: extractive(),
+    fallback: Callable[[JobOptions], Generate] | None = None,
+    clean_questions: bool = False,
+    organisation: str = DEFAULT_ORGANISATION,
 ) -> DataFrame:
-    """Questions (question_id, question) to answers with sources and prompts."""
+    """Questions (question_id, question) to answers with sources and prompts.
+
+    Generators are made in the tasks from the options, which hold the temperature and the length of answers.
+    ``clean_questions`` is for an embedder that knows cleaned text only, as the hashed one does.
+    """
     asked = filter_with_text(questions, "question")
-    vectors = embed_questions(asked, "question", embedder, options.vector_width)
+    vectors = embed_questions(asked, "question", embedder, options.vector_width, clean_questions)
     sources = find_sources(index, vectors, options)
-    return answer_questions(questions, sources, generator, fallback)
+    other = None if fallback is None else lambda: fallback(options)
+    return answer_questions(questions, sources, lambda: generator(options), other, organisation=organisation)

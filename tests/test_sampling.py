@@ -44,11 +44,11 @@ def test_no_row_twice(strata):
     assert sample.select("value").distinct().count() == sample.count() == 80
 
 
-@pytest.mark.parametrize("slices", [1, 3, 1024])
-def test_rows_are_the_first_by_hash_whatever_the_slices(strata, slices):
+@pytest.mark.parametrize("slices, max_ranked", [(1, 10), (3, 1), (1024, 10_000), (16, 2)])
+def test_rows_are_the_first_by_hash_whatever_the_slices(strata, slices, max_ranked):
     rows = [tuple(r) for r in strata.collect()]
     for n in (7, 399):
-        found = {r.value for r in drawn(strata, n, seed=5, slices=slices).collect()}
+        found = {r.value for r in drawn(strata, n, seed=5, slices=slices, max_ranked=max_ranked).collect()}
         assert found == brute_force(rows, n, 5)
 
 
@@ -79,6 +79,15 @@ def test_rows_without_a_key_count_too(spark):
     assert drawn(df, 4).count() == 4
 
 
+def test_only_keys_and_hashes_are_ranked(spark):
+    df = spark.range(20_000).selectExpr("id AS value", "'one' AS category", "repeat('x', 50) AS words")
+    sample = drawn(df, 500, slices=64, max_ranked=50)
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange hashpartitioning" not in plan
+    rows = [(r.value, "one") for r in df.collect()]
+    assert {r.value for r in sample.collect()} == brute_force(rows, 500, 42)
+
+
 def test_shuffle_keeps_the_rows(strata):
     plain, mixed = drawn(strata, 80), drawn(strata, 80, shuffle=True)
     assert {r.value for r in plain.collect()} == {r.value for r in mixed.collect()}
