@@ -132,8 +132,8 @@ def repeated_in_shard(pieces: pd.DataFrame, window: int, spanning: _Spanning | N
         parts = pieces["piece"].to_numpy()[kept]
         raw, lengths = np.frombuffer(b"".join(parts), np.uint8), np.fromiter(map(len, parts), np.int64, len(parts))
         starts = np.cumsum(lengths) - lengths
-        order, _ = suffixes.suffix_array(raw, window)
-        common = suffixes.common_prefixes(raw, order, starts, lengths, window)
+        order, rank = suffixes.suffix_array(raw, window)
+        common = suffixes.common_prefixes(raw, order, rank, starts, lengths, window)
         piece = np.repeat(np.arange(len(kept)), lengths)
         real = np.arange(len(raw)) - starts[piece] < n[kept][piece]  # starts of windows that lie in their piece
         run = np.cumsum(common[order] < window)

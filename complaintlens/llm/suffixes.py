@@ -120,11 +120,12 @@ def suffix_array(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, rank[:n] - 1
 
 
-def common_prefixes(raw: np.ndarray, order: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(raw: np.ndarray, order: np.ndarray, rank: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int) -> np.ndarray:
     """Kasai's common prefix of each suffix and the one before it in ``order``, up to ``most`` bytes, by place in the text.
 
     Pieces of the text (``starts``, ``lengths``) are gone through side by side. A suffix shares all but one byte of what the
     suffix to its left shared. That does not hold where the limit was reached, as the order ends there: those begin anew.
+    Suffixes of one ``rank`` agree up to the limit, which need not be compared.
     """
     n = len(raw)
     padded = np.concatenate([raw, np.zeros(most + 8, np.uint8)])
@@ -141,7 +142,7 @@ def common_prefixes(raw: np.ndarray, order: np.ndarray, starts: np.ndarray, leng
         lanes = int(np.searchsorted(-lengths, -t, side="left"))
         i = starts[:lanes] + t
         j = previous[i]
-        h = np.where(j < 0, most, known[:lanes])
+        h = np.where((j < 0) | (rank[i] == rank[j]), most, known[:lanes])
         going = np.flatnonzero(h < most)
         while len(going):
             differ = words[i[going] + h[going]] ^ words[j[going] + h[going]]
