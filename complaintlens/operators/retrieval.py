@@ -148,7 +148,7 @@ def retrieve(
     if k < 1:
         raise ValueError(f"k must be at least 1, got {k}")
     asked = written_once(questions.select(question_id, question_vector), "questions")
-    slices = max(1, math.ceil(asked.count() * 8 * width / max(1, max_question_bytes)))
+    slices = max(1, math.ceil(asked.count() * 8 * width / max(8 * width, max_question_bytes)))
     schema = _hit_schema(vectors, key, questions, question_id)
     # The content keeps questions that share an id from all falling into one slice.
     number = F.pmod(F.xxhash64(question_id, question_vector), F.lit(slices))

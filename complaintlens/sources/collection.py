@@ -54,7 +54,9 @@ def write_collection(
     append may bring new columns, which are null in the rows stored before, and lack others.
     """
     spark: SparkSession = df.sparkSession
-    rows, keys = _one_row_per_key(fill_metadata(df), key)
+    # The key is not filled: a missing one must be seen.
+    texts = [name for name in df.columns if name != key]
+    rows, keys = _one_row_per_key(fill_metadata(df, texts), key)
     if spark.catalog.tableExists(name) and not reset:
         _append(spark, rows, name, key)
         return

@@ -20,7 +20,7 @@ def questions(spark):
 def sources(spark):
     rows = [
         (1, 2, "Second. More", "Credit Card", None, 0.87),
-        (1, 1, " Customers report delayed refunds. Often. ", "Credit Card", "Acme Bank", 0.91),
+        (1, 1, " Customers report delayed refunds. Often. ", "Credit Card", "Linden Credit Union", 0.91),
         (1, 3, "Third", None, "", 0.5),
     ]
     return spark.createDataFrame(rows, SOURCES)
@@ -35,7 +35,7 @@ def test_prompt(questions, sources):
     assert prompt[1] == (
         prompts.SYSTEM_CONTEXT.format(organisation="Some Bank")
         + "\n\nCustomer complaint excerpts:\n\n"
-        "[Source 1 — Credit Card | Acme Bank]\nCustomers report delayed refunds. Often.\n\n"
+        "[Source 1 — Credit Card | Linden Credit Union]\nCustomers report delayed refunds. Often.\n\n"
         "[Source 2 — Credit Card]\nSecond. More\n\n[Source 3]\nThird\n\n"
         "Question: Why fees?\n\nAnswer:"
     )
@@ -90,13 +90,13 @@ def test_answer_table(spark, questions, sources):
 
 def test_cards(questions, sources):
     cards = {r["rank"]: r for r in prompts.source_cards(sources).collect()}
-    assert (cards[1].score_label, cards[1].company, cards[1].color) == ("0.91", "Acme Bank", "#00B4D8")
+    assert (cards[1].score_label, cards[1].company, cards[1].color) == ("0.91", "Linden Credit Union", "#00B4D8")
     assert (cards[3].product, cards[3].color, cards[3].icon) == ("Unknown", D.OTHER_COLOR, D.OTHER_ICON)
-    for part in ("Source 1", "Credit Card", "Acme Bank", "0.91", "delayed refunds"):
+    for part in (">1. ", "Credit Card", "Linden Credit Union", "0.91", "delayed refunds"):
         assert part in cards[1].html
     shown = by_id(prompts.cards_per_question(questions, sources), "sources_html")
     assert shown[2] == "_No sources retrieved._"
-    assert shown[1].count("\n") == 2 and shown[1].index("Source 1") < shown[1].index("Source 2")
+    assert shown[1].count("\n") == 2 and shown[1].index(">1. ") < shown[1].index(">2. ")
 
 
 def test_card_text_is_cut_and_score_may_be_missing(spark):

@@ -3,11 +3,11 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from complaintlens.functions.text import PRODUCTS
 from complaintlens.sources import collection, columns, complaints, exports
 from complaintlens.streaming import ingest
 
 WIDTH = 384
-CATEGORIES = ["Credit Card", "Personal Loan", "Savings Account", "Money Transfer"]
 NESTED = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -18,7 +18,7 @@ NESTED = T.StructType(
             T.StructType(
                 [
                     T.StructField("complaint_id", T.LongType()),
-                    *[T.StructField(n, T.StringType()) for n in ("product_category", "product", "company", "state")],
+                    *[T.StructField(n, T.StringType()) for n in ("product_category", "company", "issue")],
                 ]
             ),
         ),
@@ -28,14 +28,14 @@ NESTED = T.StructType(
 
 def nested(spark, vectors, start=0):
     rows = [
-        (f"{i}_0", f"text {i}", [float(x) for x in v], (i, CATEGORIES[i % 4], "p", "Acme Bank", "CA"))
+        (f"case-{i}/1", f"narrative of case {i}", [float(x) for x in v], (i, PRODUCTS[i % 4], f"lender {i % 3}", None))
         for i, v in enumerate(vectors, start)
     ]
     return spark.createDataFrame(rows, NESTED)
 
 
 def flat(spark, vectors, text="chunk_text", vector="embedding"):
-    rows = [(i, f"text {i}", CATEGORIES[i % 4], [float(x) for x in v]) for i, v in enumerate(vectors)]
+    rows = [(i, f"text {i}", PRODUCTS[i % 4], [float(x) for x in v]) for i, v in enumerate(vectors)]
     return spark.createDataFrame(
         rows, f"complaint_id long, {text} string, product_category string, {vector} array<float>"
     )
@@ -126,6 +126,15 @@ def test_csv_cells_come_back(spark, tmp_path):
     assert complaints.csv_header(spark, str(tmp_path / "csv")) == ["id", "text"]
 
 
+def test_csv_with_another_header_or_width_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,state,company\n1,NY,Linden\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        complaints.read_complaints_csv(spark, str(tmp_path / "a.csv"), ["id", "company", "state"]).collect()
+    (tmp_path / "b.csv").write_text("id,state\n1,NY,surplus\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        complaints.read_complaints_csv(spark, str(tmp_path / "b.csv"), ["id", "state"]).collect()
+
+
 # --- index -----------------------------------------------------------------
 
 
@@ -133,10 +142,10 @@ def test_index_from_nested_export(spark, random_vectors, tmp_path):
     vectors = random_vectors(80)
     index = exports.build_index(spark, saved(nested(spark, vectors), tmp_path / "n"), WIDTH)
     assert set(index.columns) == {
-        "chunk_id", "chunk_text", "embedding", "complaint_id", "product_category", "product", "company", "state",
+        "chunk_id", "chunk_text", "embedding", "complaint_id", "product_category", "company", "issue",
     }
     rows = {r.complaint_id: r for r in index.collect()}
-    assert len(rows) == 80 and rows[3].chunk_id == "3_0" and rows[3].company == "Acme Bank"
+    assert len(rows) == 80 and rows[3].chunk_id == "case-3/1" and rows[5].company == "lender 2"
     assert np.allclose(np.linalg.norm(rows[3].embedding), 1.0, atol=1e-5)
     assert np.allclose(rows[3].embedding, vectors[3] / np.linalg.norm(vectors[3]), atol=1e-6)
     assert exports.index_count(index).first().n_vectors == 80
@@ -145,7 +154,10 @@ def test_index_from_nested_export(spark, random_vectors, tmp_path):
 def test_index_from_other_names_reads_only_what_it_needs(spark, random_vectors, tmp_path):
     df = flat(spark, random_vectors(20), "text", "vector").withColumn("remark", F.lit("x"))
     index = exports.build_index(spark, saved(df, tmp_path / "f"), WIDTH, normalize=False)
-    assert index.columns == ["chunk_text", "embedding", "complaint_id", "product_category"]
+    assert index.columns == ["chunk_text", "embedding", "complaint_id", "product_category", "chunk_id"]
+    assert index.select("chunk_id").distinct().count() == 20
+    again = exports.build_index(spark, str(tmp_path / "f"), WIDTH, normalize=False)
+    assert {tuple(r) for r in index.select("chunk_id", "complaint_id").collect()} == {tuple(r) for r in again.select("chunk_id", "complaint_id").collect()}
     assert "remark" not in index._jdf.queryExecution().executedPlan().toString()
 
 
@@ -157,6 +169,15 @@ def test_wrong_width_is_refused(spark, random_vectors, tmp_path):
     assert (row.n_vectors, row.n_wrong_width) == (20, 20)
 
 
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), None])
+def test_vectors_that_are_not_finite_are_refused(spark, tmp_path, bad):
+    df = spark.createDataFrame([("t", [1.0, 2.0]), ("u", [bad, 1.0])], "text string, vector array<float>")
+    path = saved(df, tmp_path / "bad")
+    with pytest.raises(Exception, match="not finite"):
+        exports.build_index(spark, path, 2).collect()
+    assert exports.width_violations(df, 2, "vector").first().n_non_finite == 1
+
+
 def test_load_embeddings_needs_the_column(spark, tmp_path):
     path = saved(spark.range(3), tmp_path / "x")
     with pytest.raises(ValueError, match="embedding"):
@@ -185,6 +206,13 @@ def test_key_differences_sees_doubled_keys(spark):
     assert found == {(1, 1, 0), (2, 2, 1), (3, 0, 1)}
 
 
+def test_tables_whose_keys_are_not_equally_frequent_are_refused(spark, tmp_path):
+    for name, keys in (("v", "aab"), ("m", "abb")):
+        saved(spark.createDataFrame([(k,) for k in keys], "chunk_id string"), tmp_path / name)
+    with pytest.raises(ValueError, match="2 not equally often"):
+        exports.load_index_and_metadata(spark, str(tmp_path / "v"), str(tmp_path / "m"))
+
+
 def test_to_metadata(spark):
     df = spark.createDataFrame([("a", "t", [1.0], "c")], "id string, document string, vector array<float>, company string")
     assert exports.to_metadata(df).columns == ["chunk_id", "chunk_text", "company"]
@@ -208,6 +236,15 @@ def test_expand_json_without_any_object(spark):
     assert exports.expand_metadata(df, "meta").columns == ["id"]
 
 
+def test_clashing_keys_are_kept(spark):
+    df = spark.createDataFrame([(1, (2, 3, "x"))], "id int, meta struct<ID: int, Id: int, other: string>")
+    wide = exports.expand_metadata(df, "meta")
+    assert wide.columns == ["id", "meta_ID", "meta_meta_Id", "other"] and tuple(wide.first()) == (1, 2, 3, "x")
+    texts = spark.createDataFrame([(1, '{"VOID": 5, "x": null, "o": {"OBJECT": [null]}}')], "id int, meta string")
+    row = exports.expand_metadata(texts, "meta").first()
+    assert row["VOID"] == 5 and row["x"] is None and row["o"]["OBJECT"] == [None]
+
+
 def test_fill_metadata(spark):
     df = spark.createDataFrame([(None, None, None)], "a string, b string, n int")
     assert exports.fill_metadata(df).first() == ("", "", None)
@@ -217,9 +254,9 @@ def test_fill_metadata(spark):
 def test_align_to_schema(spark):
     first = spark.createDataFrame([(1.5, "a")], "x double, s string")
     later = spark.createDataFrame([(7, 1)], "x int, extra int")
-    both = exports.append_batches(first, later)
-    assert both.schema == first.schema or both.columns == ["x", "s"]
-    assert {tuple(r) for r in both.collect()} == {(1.5, "a"), (7.0, None)}
+    both = exports.append_batches(first, later, spark.createDataFrame([("9", 2.0)], "extra string, y double"))
+    assert both.columns == ["x", "s", "extra", "y"]
+    assert {tuple(r) for r in both.collect()} == {(1.5, "a", None, None), (7.0, None, 1, None), (None, None, 9, 2.0)}
 
 
 def test_collection(spark, tmp_path):
@@ -236,6 +273,18 @@ def test_collection(spark, tmp_path):
     assert [r.chunk_id for r in spark.table("stored_chunks").collect()] == ["z"]
 
 
+def test_collection_keeps_new_columns_and_refuses_null_ids(spark, tmp_path):
+    path = str(tmp_path / "wider")
+    collection.write_collection(spark.createDataFrame([("a", 1)], "chunk_id string, n int"), "wider_chunks", path)
+    collection.write_collection(spark.createDataFrame([("b", "NY")], "chunk_id string, state string"), "wider_chunks", reset=False)
+    assert {tuple(r) for r in spark.table("wider_chunks").select("chunk_id", "n", "state").collect()} == {("a", 1, None), ("b", None, "NY")}
+    with pytest.raises(ValueError, match="without chunk_id"):
+        collection.write_collection(spark.createDataFrame([(None, 1)], "chunk_id string, n int"), "wider_chunks", reset=False)
+    # A collection can be rewritten from itself.
+    collection.write_collection(spark.table("wider_chunks").filter("n = 1"), "wider_chunks", path)
+    assert [r.chunk_id for r in spark.table("wider_chunks").collect()] == ["a"]
+
+
 # --- stream ----------------------------------------------------------------
 
 

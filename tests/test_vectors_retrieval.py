@@ -82,11 +82,6 @@ def test_hits_are_sorted_and_k_may_exceed_n(spark, random_vectors):
 @pytest.mark.parametrize("bound", [retrieval.MAX_QUESTION_BYTES, 0])
 def test_both_ways_equal_brute_force(spark, random_vectors, partitions, bound, monkeypatch):
     vectors, questions = random_vectors(300, WIDTH), random_vectors(9, WIDTH, 1)
-    original = retrieval.retrieve_candidates_by_blocks
-    monkeypatch.setattr(
-        retrieval, "retrieve_candidates_by_blocks",
-        lambda *a: original(*a, block_vectors=70, block_questions=4),
-    )
     hits = retrieval.retrieve(
         table(spark, vectors).repartition(partitions), asked(spark, questions), 4, WIDTH, max_question_bytes=bound
     )
@@ -141,6 +136,32 @@ def test_wrong_width_fails(spark, random_vectors):
         retrieval.retrieve(table(spark, vectors), asked(spark, vectors), 0, 8)
 
 
+@pytest.mark.parametrize("bad", [float("nan"), float("inf")])
+@pytest.mark.parametrize("place", [0, 20, 39])
+def test_a_vector_that_is_not_finite_stops_a_search(spark, random_vectors, bad, place):
+    vectors = random_vectors(40, WIDTH)
+    questions = asked(spark, vectors[:2])
+    vectors[place, 3] = bad
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        stored = table(spark, vectors).coalesce(1)
+        with pytest.raises(Exception, match="not finite"):
+            retrieval.retrieve(stored, questions, 3, WIDTH).collect()
+        with pytest.raises(Exception, match="not finite"):
+            retrieval.top_k_single(stored, random_vectors(1, WIDTH)[0], k=1).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_slices_of_questions_give_the_same_and_shuffle_no_vector(spark, random_vectors):
+    vectors = random_vectors(60, WIDTH)
+    stored, questions = table(spark, vectors), asked(spark, vectors[:9])
+    whole = retrieval.retrieve(stored, questions, 4, WIDTH)
+    sliced = retrieval.retrieve(stored, questions, 4, WIDTH, max_question_bytes=2 * 8 * WIDTH)
+    assert sorted(map(tuple, sliced.collect())) == sorted(map(tuple, whole.collect()))
+    assert "embedding" not in sliced._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_vectors_and_no_questions(spark, random_vectors):
     vectors = random_vectors(3, WIDTH)
     assert retrieval.retrieve(table(spark, vectors).limit(0), asked(spark, vectors), 2, WIDTH).count() == 0
@@ -160,7 +181,7 @@ def test_attach_metadata_keeps_hits_without_any(spark, monkeypatch):
     meta = spark.createDataFrame([(i, f"c{i}") for i in range(5)], "chunk_id long, company string")
     expected = {1: "c1", 9: None}
     assert dict(retrieval.attach_metadata(hits, meta).select("chunk_id", "company").collect()) == expected
-    monkeypatch.setattr(retrieval, "local_if_small", lambda df: None)
+    monkeypatch.setattr(retrieval, "settled", lambda df, purpose: (df, False))
     assert dict(retrieval.attach_metadata(hits, meta).select("chunk_id", "company").collect()) == expected
 
 
