@@ -141,7 +141,7 @@ def _scaled(logs: np.ndarray) -> np.ndarray:
 
 
 def score_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = 2, backoff: float = 0.4, grams_per_part: int = 3_000_000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = 2, backoff: float = 0.4, grams_per_part: int = 1_500_000,
     hot_words: int = HOT_WORDS, hot_pairs: int = HOT_PAIRS,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, n_words, log_score (natural logarithm, summed), mean_log_score (per word).
@@ -202,7 +202,7 @@ def score_documents(
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
         plain, packed = group[group["doc"] >= 0], group[group["doc"] < 0]
-        out = [plain[["block", "doc", "id", "n_words", "total"]]]
+        out = [plain[["block", "doc", "id", "n_words", "total", "data"]]]
         if len(packed):
             own, other, flag, doc = (np.concatenate(x) for x in zip(*map(unpack, packed["data"]), strict=True))
             sizes = np.fromiter((int(np.frombuffer(d, np.uint32, 1)[0]) for d in packed["data"]), np.int64, len(packed))
@@ -221,14 +221,25 @@ def score_documents(
             not_in_table = np.where(both | hot_other | second, second_log, 0.0)
             sums = np.zeros(int(sizes.sum()), np.int64)
             np.add.at(sums, row, _scaled(np.where(seen, in_table, not_in_table)))
-            touched = np.flatnonzero(sums)
-            block = np.repeat(packed["block"].to_numpy(), sizes)
-            number = np.arange(len(sums)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            out.append(pd.DataFrame({"block": block[touched], "doc": number[touched], "id": None, "n_words": 0, "total": sums[touched]}))
+            # One row goes back to each block, with the documents that had pairs here and their sums.
+            found = []
+            for part_sums in np.split(sums, np.cumsum(sizes)[:-1]):
+                touched = np.flatnonzero(part_sums)
+                found.append(touched.astype(np.int32).tobytes() + part_sums[touched].tobytes())
+            out.append(pd.DataFrame({"block": packed["block"].to_numpy(), "doc": -1, "id": None, "n_words": 0, "total": 0, "data": found}))
         return pd.concat(out)
 
+    def gather(group: pd.DataFrame) -> pd.DataFrame:
+        """The documents of a block with the sums of all parts."""
+        block, packed = group[group["doc"] >= 0].sort_values("doc"), group.loc[group["doc"] < 0, "data"]
+        total = block["total"].to_numpy().copy()
+        for part in packed:
+            n = len(part) // 12
+            total[np.frombuffer(part, np.int32, n)] += np.frombuffer(part, np.int64, n, 4 * n)
+        return pd.DataFrame({"id": block["id"], "n_words": block["n_words"], "log_score": total / SCALE})
+
     dealt = rows.mapInPandas(deal, "part int, block long, doc int, id string, n_words long, total long, data binary")
-    sums = dealt.groupBy("part").applyInPandas(join, "block long, doc int, id string, n_words long, total long")
-    summed = sums.groupBy("block", "doc").agg(F.max("id").alias("id"), F.sum("n_words").alias("n_words"), (F.sum("total") / F.lit(float(SCALE))).alias("log_score"))
+    sums = dealt.groupBy("part").applyInPandas(join, "block long, doc int, id string, n_words long, total long, data binary")
+    summed = sums.groupBy("block").applyInPandas(gather, "id string, n_words long, log_score double")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(F.lit(0.0))
     return summed.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "log_score", mean.alias("mean_log_score"))
