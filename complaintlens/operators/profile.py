@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from complaintlens.functions import text as T
 from complaintlens.operators.prepare import MIN_CLEAN_WORDS, kept_flag
-from complaintlens.session import written_once
 
 # A narrative under this many words is short, one over this percentile long.
 SHORT_WORDS = 5
@@ -40,9 +39,8 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def value_shares(df: DataFrame, column: str) -> DataFrame:
     """``value_counts`` with each value's share of the non-null rows."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    # Stored, since the total and the shares both read it; there may be many or long values.
-    counts = written_once(counts, "value-counts")
-    total = counts.agg(F.sum("n")).scalar()
+    # The total is a query of its own, so the many values there may be are not windowed in one task.
+    total = df.agg(F.count(column)).scalar()
     return counts.withColumn("share", F.col("n") / total).orderBy(F.desc("n"), column)
 
 

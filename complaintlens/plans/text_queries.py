@@ -382,10 +382,12 @@ def chunk_documents(spark, folder):
 @query(
     "chunk_invariants",
     f"""SELECT doc_id, true AS has_chunks, true AS numbered_through, true AS totals_agree,
-  true AS none_too_long, true AS none_blank FROM documents WHERE {I.sql_has_text('text')}""",
+  true AS none_too_long, true AS none_blank, regexp_extract(text, {I.sql_text(I.NOT_WS + '+')}) AS first_word,
+  regexp_extract(text, {I.sql_text('(' + I.NOT_WS + '+)' + I.WS + '*$')}, 1) AS last_word
+FROM documents WHERE {I.sql_has_text('text')}""",
 )
 def chunk_invariants(spark, folder):
-    """Per document with text, what must hold of its chunks."""
+    """Per document with text, what must hold of its chunks, and the words they begin and end with."""
     docs = I.documents(spark, folder)
     chunks = chunking.chunk_documents(docs, "text", "doc_id")
     return chunks.groupBy(F.col("complaint_id").alias("doc_id")).agg(
@@ -400,6 +402,8 @@ def chunk_invariants(spark, folder):
         ).alias("totals_agree"),
         (F.max(F.length("chunk_text")) <= chunking.DEFAULT_CHUNK_SIZE).alias("none_too_long"),
         (F.min(F.length(T.strip(F.col("chunk_text")))) > 0).alias("none_blank"),
+        F.regexp_extract(F.min_by("chunk_text", "chunk_index"), f"{I.NOT_WS}+", 0).alias("first_word"),
+        F.regexp_extract(F.max_by("chunk_text", "chunk_index"), f"({I.NOT_WS}+){I.WS}*$", 1).alias("last_word"),
     )
 
 

@@ -216,7 +216,9 @@ def embed_vectors(spark, folder):
 
 @query(
     "embed_norms",
-    f"{I.WITH_CLEAN} SELECT complaint_id, CAST({HASH_WIDTH} AS INTEGER) AS width, 1.0::DOUBLE AS length FROM clean",
+    f"""{_TOKENS} SELECT complaint_id, CAST({HASH_WIDTH} AS INTEGER) AS width, 1.0::DOUBLE AS length,
+  count(*) AS n_nonzero, max(n) FILTER (n = most) / sqrt(sum(n * n)::DOUBLE) > 0.5 AS one_dominates
+FROM (SELECT *, max(n) OVER (PARTITION BY complaint_id) AS most FROM buckets) GROUP BY complaint_id""",
 )
 def embed_norms(spark, folder):
     rows = embedding.embed(
@@ -228,6 +230,8 @@ def embed_norms(spark, folder):
         "complaint_id",
         F.size("embedding").alias("width"),
         F.round(V.norm(F.col("embedding")), 5).alias("length"),
+        F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("n_nonzero"),
+        (F.array_max("embedding") > 0.5).alias("one_dominates"),
     )
 
 
