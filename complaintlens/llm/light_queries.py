@@ -90,7 +90,7 @@ facts AS (SELECT *, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)
   FROM counted LEFT JOIN repeated USING (doc_id)),
 based AS (SELECT *, n_words < 20 OR 100 * n_repeat > 30 * n_words AS base_failed FROM facts)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat AS n_repeat_words, base_failed,
-  NOT (base_failed OR 2 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars > 20 * n_words OR 2 * word_chars < 3 * n_words
+  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines OR word_chars > 20 * n_words OR 2 * word_chars < 3 * n_words
     OR capitals > small OR 4 * n_marks > n_words OR 20 * n_distinct < n_words) AS kept
 FROM based
 """

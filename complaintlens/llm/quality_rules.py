@@ -109,8 +109,8 @@ BASE_RULES = (
     Rule("repeated_windows", lambda t: 100 * t.n_repeat_words > 30 * t.n_words),
 )
 RULES = (
-    Rule("symbols", lambda t: 2 * t.n_symbols > t.n_words),
-    Rule("repeated_lines", lambda t: 10 * t.n_dup_lines > 3 * t.n_lines),
+    Rule("symbols", lambda t: 10 * t.n_symbols > 3 * t.n_words),
+    Rule("repeated_lines", lambda t: 2 * t.n_dup_lines > t.n_lines),
     Rule("long_words", lambda t: t.word_chars > 20 * t.n_words),
     Rule("short_words", lambda t: 2 * t.word_chars < 3 * t.n_words),
     Rule("capitals", lambda t: t.letters[0] > t.letters[1]),
