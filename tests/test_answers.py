@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +160,29 @@ def test_whole_way_from_complaints_to_answers(spark):
     told = {r.question_id: r for r in jobs.answer(index, asked, options).collect()}
     assert len(told[1].sources) == 3 and told[1].answer
     assert told[1].sources[0].complaint_id == 7 and told[2].status == "empty"
+
+
+def test_questions_reach_the_embedder_as_asked(spark):
+    class ByScript:
+        def embed(self, texts):
+            return np.array([[1.0, 0.0] if t == "Жалоба: FEES?" else [0.0, 1.0] for t in texts])
+
+    asked = spark.createDataFrame([(1, "Жалоба: FEES?")], "question_id long, question string")
+    assert jobs.embed_questions(asked, factory=ByScript, width=2).first().question_vec == [1.0, 0.0]
+    assert jobs.embed_questions(asked, factory=ByScript, width=2, clean=True).first().question_vec == [0.0, 1.0]
+
+
+def test_options_and_organisation_reach_the_generator(spark):
+    index = spark.createDataFrame([("a", "a fee", [1.0, 0.0])], "chunk_id string, chunk_text string, embedding array<float>")
+    asked = spark.createDataFrame([(1, "fees?"), (2, " ")], "question_id long, question string")
+
+    class One:
+        def embed(self, texts):
+            return np.array([[1.0, 0.0]] * len(texts))
+
+    def generator(options):
+        return lambda prompt: f"{options.max_answer_tokens} {options.temperature} {'Linden' in prompt}"
+
+    told = jobs.answer(index, asked, JobOptions(vector_width=2, max_answer_tokens=99, temperature=0.1), One, generator, organisation="Linden")
+    rows = {r.question_id: r for r in told.collect()}
+    assert rows[1].answer == "99 0.1 True" and rows[2].answer is None and rows[1].sources[0].chunk_id == "a"
