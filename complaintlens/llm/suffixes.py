@@ -12,15 +12,6 @@ _BYTE_CODES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 _FACTORS = np.random.default_rng(8).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _doubled(first: np.ndarray, length: int, join) -> np.ndarray:
-    """``join`` over all runs of ``length``, built from runs of powers of two; runs may overlap if ``join`` allows it."""
-    level, width = first, 1
-    while 2 * width <= length:
-        level = join(level[:-width], level[width:], width)
-        width *= 2
-    return level, width
-
-
 def gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of the ``k`` bytes at each place."""
     level, width, done = _BYTE_CODES[raw], 1, None
@@ -40,8 +31,12 @@ def gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
 
 
 def _sliding_minimum(values: np.ndarray, length: int) -> np.ndarray:
-    level, width = _doubled(values, length, lambda a, b, _: np.minimum(a, b))
-    return level if width == length else np.minimum(level[: len(values) - length + 1], level[length - width : length - width + len(values) - length + 1])
+    """The least of each ``length`` values in a row, from minima over powers of two, which may overlap."""
+    level, width, n = values, 1, len(values) - length + 1
+    while 2 * width <= length:
+        level = np.minimum(level[:-width], level[width:])
+        width *= 2
+    return np.minimum(level[:n], level[length - width : length - width + n])
 
 
 def regions(texts: list[bytes], window: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
