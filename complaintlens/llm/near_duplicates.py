@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from complaintlens.llm.beside import map_beside
 from complaintlens.llm.components import connected_components
 from complaintlens.session import written_once
 
@@ -49,15 +50,13 @@ def simhash(text: str | None, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, ``keep``, fp) per row of ``docs``; ``fp`` holds the 64 bits of the fingerprint as a signed long, ``keep`` names longs."""
+    """(id, ``keep``, fp) per row of ``docs``; ``fp`` holds the 64 bits of the fingerprint as a signed long."""
 
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            marks = np.array([simhash(text, width) for text in batch["text"]], np.uint64)
-            yield pd.DataFrame({"id": batch["id"], **{c: batch[c] for c in keep}, "fp": marks.view(np.int64)})
+    def mark(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        marks = np.array([simhash(text, width) for text in batch["text"]], np.uint64)
+        yield pd.DataFrame({"fp": marks.view(np.int64)})
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text")).mapInPandas(mark, f"id {id_type}, " + "".join(f"{c} long, " for c in keep) + "fp long")
+    return map_beside(docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text")), ["id", *keep], mark, "fp long")
 
 
 # A tree is None for a leaf, or (vantage, distance, left, right).

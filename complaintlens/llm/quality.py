@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from complaintlens.llm import boosting
+from complaintlens.llm.beside import map_beside
 from complaintlens.llm.labelled import remainder, training_ids
 
 SYMBOLS = b"#*$%&|<>!?.,;:-_"
@@ -73,15 +75,13 @@ def score_quality(
     """
     forest = fit_quality(docs, labels, id_col, text_col, label_col, folds, held_out, max_per_class)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.array([statistics(t) for t in batch["text"]]).reshape(-1, FEATURES)
-            score = forest.score(x)
-            yield pd.DataFrame({"id": batch["id"], "held_out": batch["held_out"], "score": score, "predicted": (score >= threshold).astype("int32")})
+    def judge(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        x = np.array([statistics(t) for t in batch["text"]]).reshape(-1, FEATURES)
+        score = forest.score(x)
+        yield pd.DataFrame({"score": score, "predicted": (score >= threshold).astype("int32")})
 
-    id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), (remainder(id_col, folds) == held_out).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(judge, f"id {id_type}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return map_beside(rows, ["id", "held_out"], judge, "score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def keep_quality(
@@ -91,9 +91,10 @@ def keep_quality(
     """The rows of ``docs``, with all their columns, that ``score_quality`` would predict as 1. No shuffle: rows are judged where they are."""
     forest = fit_quality(docs, labels, id_col, text_col, label_col, folds, held_out, max_per_class)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # In Arrow, as pandas would round whole numbers beside a null.
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t) for t in batch[text_col]]).reshape(-1, FEATURES)
-            yield batch[forest.score(x) >= threshold]
+            x = np.array([statistics(t) for t in batch.column(text_col).to_pylist()]).reshape(-1, FEATURES)
+            yield batch.filter(pa.array(forest.score(x) >= threshold))
 
-    return docs.mapInPandas(judge, docs.schema)
+    return docs.mapInArrow(judge, docs.schema)

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from complaintlens.llm.beside import map_beside
+
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
@@ -153,21 +155,15 @@ def apply_quality_rules(
     """
     ordered = estimate_order(docs, text_col, rules, sample_rows)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                facts = Facts(text)
-                failed = any(rule.rejects(facts) for rule in BASE_RULES)
-                kept = not failed and not any(rule.rejects(facts) for rule in ordered)
-                rows.append((facts.n_words, facts.word_chars, facts.n_symbols, facts.n_dup_lines, facts.n_repeat_words, failed, kept))
-            out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
-            out.insert(0, "id", batch["id"].to_numpy())
-            yield out
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInPandas(judge, f"id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
-        .withColumnRenamed("id", id_col)
-    )
+    def judge(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rows = []
+        for text in batch["text"]:
+            facts = Facts(text)
+            failed = any(rule.rejects(facts) for rule in BASE_RULES)
+            kept = not failed and not any(rule.rejects(facts) for rule in ordered)
+            rows.append((facts.n_words, facts.word_chars, facts.n_symbols, facts.n_dup_lines, facts.n_repeat_words, failed, kept))
+        yield pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    made = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
+    return map_beside(rows, ["id"], judge, made).withColumnRenamed("id", id_col)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from complaintlens.llm import suffixes
+from complaintlens.llm.beside import map_beside
 from complaintlens.session import written_once
 
 KEY = ["k1", "k2"]
@@ -249,23 +250,21 @@ def remove_repeats(
     whole = copies.filter("c > 1").select(*KEY, F.lit(0).cast("long").alias("start"), (F.col("size") - window + 1).cast("long").alias("n"))
     spans = inside.unionByName(whole).groupBy(*KEY).agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in _text_groups(batch):
-                rows = []
-                for data, starts, counts in part[["data", "starts", "counts"]].itertuples(index=False):
-                    if starts is None:
-                        rows.append((len(data), 0, [], data))
-                        continue
-                    first, end = cover(np.asarray(starts), np.asarray(counts), window)
-                    kept = [data[a:b] for a, b in zip(np.r_[0, end], np.r_[first, len(data)], strict=True)]
-                    rows.append((len(data), int((end - first).sum()), [{"start": a, "end": b} for a, b in zip(first.tolist(), end.tolist(), strict=True)], b"".join(kept)))
-                out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "spans", "kept"])
-                yield pd.concat([part[carried].reset_index(drop=True), out], axis=1)
+    def cut(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for part in _text_groups(batch):
+            rows = []
+            for data, starts, counts in part[["data", "starts", "counts"]].itertuples(index=False):
+                if starts is None:
+                    rows.append((len(data), 0, [], data))
+                    continue
+                first, end = cover(np.asarray(starts), np.asarray(counts), window)
+                kept = [data[a:b] for a, b in zip(np.r_[0, end], np.r_[first, len(data)], strict=True)]
+                rows.append((len(data), int((end - first).sum()), [{"start": a, "end": b} for a, b in zip(first.tolist(), end.tolist(), strict=True)], b"".join(kept)))
+            yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "spans", "kept"])
 
     names = [id_col, *keep]
     carried = [f"c{i}" for i in range(len(names))]
     rows = docs.select(*[F.col(name).alias(c) for name, c in zip(names, carried, strict=True)], data.alias("data")).withColumns(dict(zip(KEY, _key_columns(F.col("data")), strict=True)))
-    schema = ", ".join(f"{c} {docs.schema[name].dataType.simpleString()}" for name, c in zip(names, carried, strict=True))
-    found = rows.join(spans, KEY, "left").drop(*KEY).mapInPandas(cut, f"{schema}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    made = "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+    found = map_beside(rows.join(spans, KEY, "left").drop(*KEY), carried, cut, made)
     return found.withColumnsRenamed(dict(zip(carried, names, strict=True)))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from complaintlens.llm import recurrent
+from complaintlens.llm.beside import map_beside
 from complaintlens.llm.labelled import remainder, training_ids
 
 WINDOW, STRIDE = 64, 48
@@ -235,12 +236,11 @@ def score_toxicity(
     """
     model = fit_toxicity(docs, labels, id_col, text_col, label_col, folds, held_out, max_per_class, max_chars)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            # Few texts at a time, so that memory depends on the longest text rather than on the batch.
-            score = np.concatenate([model.score(batch["text"].iloc[a : a + 256].tolist()) for a in range(0, len(batch), 256)] or [np.zeros(0)])
-            yield pd.DataFrame({"id": batch["id"], "held_out": batch["held_out"], "score": score.astype(float), "predicted": (score >= threshold).astype("int32")})
+    def judge(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        # Few texts at a time, so that memory depends on the longest text rather than on the batch.
+        for a in range(0, len(batch), 256):
+            score = model.score(batch["text"].iloc[a : a + 256].tolist())
+            yield pd.DataFrame({"score": score.astype(float), "predicted": (score >= threshold).astype("int32")})
 
-    id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), (remainder(id_col, folds) == held_out).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(judge, f"id {id_type}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return map_beside(rows, ["id", "held_out"], judge, "score double, predicted int").withColumnRenamed("id", id_col)
