@@ -64,7 +64,36 @@ def find_items(
     are empty. Repeated documents and items (same id and text) count once; null ids stay null. Other columns are left out; an
     empty table on either side gives an empty result.
     """
-    words = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("ids"), F.xxhash64(text_col).alias("th"), alphanumeric_words(F.col(text_col)).alias("words"))
+    best = _best_windows(docs, items, id_col, text_col, item_id_col, item_text_col, shingle, similarity, radius, blocks)
+    return best.select(
+        F.col("id").alias(id_col), F.col("item").alias(item_id_col), F.col("b.first_word").cast("long").alias("first_word"), F.col("b.n_words").cast("long").alias("n_words"),
+        (-F.col("b.col1")).alias("similarity"), "b.hamming",
+    )
+
+
+def drop_items(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
+    shingle: int = 5, similarity: float = 0.8, radius: int = 23, blocks: int = 8,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in whose own text ``find_items`` finds nothing.
+
+    A row goes by its id and text, so clean rows that share an id, or have none, stay.
+    """
+    best = _best_windows(docs, items, id_col, text_col, item_id_col, item_text_col, shingle, similarity, radius, blocks)
+    found = best.select(F.col("ids").alias("__ids"), F.col("th").alias("__th")).distinct()
+    same = (_id_text(id_col) == F.col("__ids")) & (F.xxhash64(text_col) == F.col("__th"))
+    return docs.join(found, same, "left_anti")
+
+
+def _id_text(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+
+
+def _best_windows(
+    docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, shingle: int, similarity: float, radius: int, blocks: int
+) -> DataFrame:
+    """(ids, th, key, id, item, b): per document (id as text, hash of the text) and item the most similar window."""
+    words = docs.select(F.col(id_col).alias("id"), _id_text(id_col).alias("ids"), F.xxhash64(text_col).alias("th"), alphanumeric_words(F.col(text_col)).alias("words"))
     wanted = items.select(F.col(item_id_col).alias("item"), F.xxhash64(item_id_col, item_text_col).alias("key"), alphanumeric_words(F.col(item_text_col)).alias("words"))
     wanted = wanted.filter(F.size("words") > 0).dropDuplicates(["key"]).withColumn("size", F.size("words")).withColumn("k", F.least("size", F.lit(shingle)))
     wanted = written_once(wanted, "benchmark-items")
@@ -74,11 +103,7 @@ def find_items(
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    best = found.groupBy("ids", "th", "key").agg(F.first("id").alias("id"), F.first("item").alias("item"), F.min(F.struct(-F.col("similarity"), "first_word", "n_words", "hamming")).alias("b"))
-    return best.select(
-        F.col("id").alias(id_col), F.col("item").alias(item_id_col), F.col("b.first_word").cast("long").alias("first_word"), F.col("b.n_words").cast("long").alias("n_words"),
-        (-F.col("b.col1")).alias("similarity"), "b.hamming",
-    )
+    return found.groupBy("ids", "th", "key").agg(F.first("id").alias("id"), F.first("item").alias("item"), F.min(F.struct(-F.col("similarity"), "first_word", "n_words", "hamming")).alias("b"))
 
 
 def _grams(df: DataFrame, words: str, k: int, *keep: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pytest
 
+import corpus_pipeline
 from complaintlens.llm import near_duplicates, quality, quality_rules, repeats, toxicity
 
 IDS = [9007199254740993, 1152921504606846977, None, 5]
@@ -25,3 +26,12 @@ def test_large_ids_beside_a_null(spark, name):
     assert {r.doc_id for r in found.collect()} == set(IDS)
     if "big" in found.columns:
         assert {r.big for r in found.collect()} == set(IDS)
+
+
+def test_clean_rows_with_the_id_of_a_contaminated_one_stay(spark, tmp_path):
+    leak = "the quick brown fox jumps over the lazy dog today"
+    rows = [(None, f"see {leak} or not"), (None, "clean without an id"), (None, None), (3, leak), (3, "clean with a shared id"), (3, leak), (4, "clean")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_benchmark(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted(((i, t) for i, t in rows if leak not in (t or "")), key=str)
