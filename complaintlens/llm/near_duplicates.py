@@ -212,6 +212,11 @@ def keep_one_of_each(
     parts = written_once(_components(marked, radius, blocks, shard_rows), "fingerprint-components")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("first")
     chosen = marked.groupBy("fp").agg(first).join(parts, "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.id", "first.th")
+    return _rows_of(docs, chosen, id_col, text_col)
+
+
+def _rows_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row of ``docs`` for each id and text hash of ``chosen`` (id, th)."""
     # Two components can only choose the same id and text if they are one, so a text is chosen once.
     same = docs[id_col].eqNullSafe(chosen["id"]) & (F.xxhash64(docs[text_col]) == chosen["th"])
     marked_rows = docs.join(chosen, same, "left_semi").withColumn("__th", F.xxhash64(text_col))
