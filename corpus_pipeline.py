@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from complaintlens.llm import decontamination, mixing, quality, repeats, similar
+from complaintlens.llm import decontamination, mixing, near_duplicates, quality, repeats
 from complaintlens.llm.registry import table
 from complaintlens.session import written_once
 
@@ -22,8 +22,12 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (Jaccard of five-word shingles 0.8 or more), that of the smallest id."""
-    return similar.keep_one_of_similar(docs.select(*COLUMNS))
+    """One document of each group of near-duplicates, that of the smallest id.
+
+    The groups are those of the SimHash near-dedup operator with its contract's parameters: fingerprints of 4-word shingles
+    that link at 4 or fewer differing bits, components by links; no word-similarity check beside the bit distance.
+    """
+    return near_duplicates.keep_one_of_each(docs.select(*COLUMNS), width=4, radius=4)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
