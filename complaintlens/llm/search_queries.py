@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from complaintlens.llm import topk
+from complaintlens.llm import resampling, topk
 from complaintlens.llm.registry import query, table
 
 TOP_K_SQL = r"""
@@ -21,3 +21,9 @@ WHERE rank <= 20
 @query("op13_exact_top_k", TOP_K_SQL)
 def exact_top_k(spark, folder):
     return topk.exact_top_k(table(spark, folder, "embeddings"), k=20, every=20, scale=64.0)
+
+
+@query("op12_importance_resample")
+def importance_resample(spark, folder):
+    docs, target = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return resampling.importance_sample(docs, target, max_words=1, buckets=10_000, share_percent=10, min_words=20, seed="2024")
