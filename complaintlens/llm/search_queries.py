@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from complaintlens.llm import resampling, topk
+from complaintlens.llm import periodic, resampling, topk
 from complaintlens.llm.registry import query, table
 
 TOP_K_SQL = r"""
@@ -27,3 +27,8 @@ def exact_top_k(spark, folder):
 def importance_resample(spark, folder):
     docs, target = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     return resampling.importance_sample(docs, target, max_words=1, buckets=10_000, share_percent=10, min_words=20, seed="2024")
+
+
+@query("op11_periodic_runs")
+def periodic_runs(spark, folder):
+    return periodic.periodic_runs(table(spark, folder, "documents"))
