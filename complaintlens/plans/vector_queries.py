@@ -13,7 +13,7 @@ from complaintlens.plans import jobs
 from complaintlens.plans.registry import query
 from complaintlens.plans.text_queries import SAMPLE_SQL, SAMPLE_TARGET
 from complaintlens.session import scratch_dir
-from complaintlens.sources import collection, columns, complaints, exports
+from complaintlens.sources import collection, columns, complaints, exports, split_csv
 from complaintlens.streaming import ingest
 
 # The stored vectors of the test tables are 64 wide.
@@ -554,6 +554,20 @@ def csv_roundtrip(spark, folder):
     return complaints.read_complaints_csv(spark, path, complaints.CLEAN_COLUMNS)
 
 
+@query(
+    "csv_split",
+    f"""{I.WITH_CLEAN} SELECT CAST(complaint_id AS VARCHAR) AS complaint_id, product_category, product,
+  CASE WHEN issue IN ('NA', '') THEN NULL ELSE issue END AS issue, company, state, date_received,
+  narrative, clean_narrative, CAST(clean_word_count AS VARCHAR) AS clean_word_count FROM clean""",
+)
+def csv_split(spark, folder):
+    """The cleaned table written as CSV and read back in byte ranges, line ends inside cells found by quote parity."""
+    path = scratch_dir(spark, "clean-csv-split")
+    table = columns.select_existing(I.cleaned(spark, folder), complaints.CLEAN_COLUMNS)
+    complaints.write_clean_csv(table, path)
+    return split_csv.read_csv_split(spark, path, complaints.CLEAN_COLUMNS)
+
+
 @query(
     "output_columns",
     f"""{I.WITH_CLEAN} SELECT complaint_id, product_category, product, issue, company, state, date_received,
