@@ -57,16 +57,23 @@ def stratified_sample(
     key: str,
     seed: int = 42,
     shuffle: bool = False,
-    slices: int = DEFAULT_SLICES,
-    max_ranked: int = MAX_RANKED,
+    slices: int | None = None,
+    max_ranked: int | None = None,
+    fanout: int = 8,
 ) -> DataFrame:
     """About ``target_n`` rows without replacement, in the proportions of ``strat_col``.
 
     ``key`` identifies a row; rows that share one are taken together, and rows without one are told
     apart by their content. With ``shuffle`` the sample comes in an order that the seed determines.
-    All targets 0 give an empty frame. ``df`` is read several times, mostly for its key and category
-    only, so it should be a stored table.
+    All targets 0 give an empty frame.
+
+    By default the last hash of each category is found by bottom-k lists (``bottom_k_sample``): two scans of key and
+    category, then one filter. With ``slices`` or ``max_ranked`` it is found by counting slices of the hash range instead;
+    both give the same rows.
     """
+    if slices is None and max_ranked is None:
+        return bottom_k_sample(df, strat_col, target_n, key, seed, shuffle, fanout)
+    slices, max_ranked = slices or DEFAULT_SLICES, max_ranked or MAX_RANKED
     _require(df, strat_col)
     content = F.concat(F.lit("row "), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string"))
     hashed = df.filter(F.col(strat_col).isNotNull()).withColumn(
@@ -107,6 +114,55 @@ def stratified_sample(
     return sample.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def _narrow(df: DataFrame, strat_col: str, key: str, seed: int) -> DataFrame:
+    """(_stratum, _key, _hash) of every row with a category; only rows without a key are read at full width."""
+    keyed = df.filter(F.col(strat_col).isNotNull() & F.col(key).isNotNull())
+    keyed = keyed.select(F.col(strat_col).alias("_stratum"), F.col(key).alias("_key"), sample_hash(F.col(key), seed).alias("_hash"))
+    content = F.concat(F.lit("row "), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string"))
+    unkeyed = df.filter(F.col(strat_col).isNotNull() & F.col(key).isNull())
+    unkeyed = unkeyed.select(F.col(strat_col).alias("_stratum"), F.col(key).alias("_key"), sample_hash(content, seed).alias("_hash"))
+    return keyed.unionByName(unkeyed)
+
+
+def bottom_k_sample(df: DataFrame, strat_col: str, target_n: int, key: str, seed: int = 42, shuffle: bool = False, fanout: int = 8) -> DataFrame:
+    """The rows of ``stratified_sample``, by bottom-k lists.
+
+    One scan counts each category and gives its target. A second keeps, per task and category, the ``k`` smallest
+    (hash, key) pairs, ``k`` the largest target (a partial window limit before the shuffle); those lists are merged in a
+    tree, ``fanout`` tasks' lists at a time, each level keeping ``k`` per category, so no merge holds more than
+    ``fanout * k`` rows of a category. The row at the target's rank is the last of the sample, and the sample is one filter
+    of the table by it. Both scans read key and category only, unless keys are null.
+    """
+    _require(df, strat_col)
+    narrow = _narrow(df, strat_col, key, seed)
+    counts, _ = settled(narrow.groupBy("_stratum").agg(F.count(F.lit(1)).alias("n")), "strata")
+    targets = _with_targets(counts, counts.agg(F.sum("n")).scalar(), target_n).select("_stratum", F.col("target").alias("_need")).filter("_need > 0")
+    targets, small = settled(targets, "targets")
+    k = targets.agg(F.max("_need")).first()[0]
+    if not k:
+        return df.limit(0)
+    order = [F.col("_hash"), F.col("_key").asc_nulls_first()]
+    level = narrow.join(F.broadcast(targets) if small else targets, "_stratum").withColumn("_group", F.spark_partition_id())
+    groups = max(narrow.rdd.getNumPartitions(), 1)
+    while groups > 1:
+        level = level.withColumn("_group", F.floor(F.col("_group") / fanout))
+        listed = Window.partitionBy("_stratum", "_group").orderBy(*order)
+        level = level.withColumn("_r", F.row_number().over(listed)).filter(F.col("_r") <= k).drop("_r")
+        groups = -(-groups // fanout)
+    ranked = Window.partitionBy("_stratum").orderBy(*order)
+    last = level.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= k).filter(F.col("_rank") == F.col("_need"))
+    last, small = settled(last.select("_stratum", F.col("_hash").alias("_last_hash"), F.col("_key").alias("_last_key")), "last")
+    hashed = df.filter(F.col(strat_col).isNotNull())
+    content = F.concat(F.lit("row "), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string"))
+    hashed = hashed.withColumn("_hash", sample_hash(F.coalesce(F.col(key).cast("string"), content), seed))
+    sample = hashed.join(F.broadcast(last) if small else last, F.col(strat_col) == F.col("_stratum"))
+    same = (F.col("_hash") == F.col("_last_hash")) & F.coalesce(F.col(key) <= F.col("_last_key"), F.lit(True))
+    sample = sample.filter((F.col("_hash") < F.col("_last_hash")) | same)
+    if shuffle:
+        sample = sample.orderBy("_hash", key)
+    return sample.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def _within(narrow: DataFrame, edges: DataFrame, small: bool, width: int) -> DataFrame:
     """The rows of each category from its ``_low`` on, ``width`` hashes wide."""
     joined = narrow.join(F.broadcast(edges) if small else edges, "_stratum")

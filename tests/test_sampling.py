@@ -118,3 +118,27 @@ def test_summary(strata):
     ]
     partial = sampling_summary(strata, strata.filter(F.col("category") != "C"), "category").collect()
     assert [r.sample_n for r in partial] == [400, 300, None]
+
+
+@pytest.mark.parametrize("fanout", [2, 8])
+def test_bottom_k_lists_give_the_rows_of_the_slices(spark, fanout):
+    rows = [(i % 350 if i % 7 else None, c, f"t{i % 11}") for i, c in enumerate("A" * 400 + "B" * 300 + "C" * 100 + "D" * 3)]
+    df = spark.createDataFrame(rows, "value long, category string, text string").repartition(13)
+    for n in (1, 37, 500, 5000):
+        by_lists = sorted(map(tuple, stratified_sample(df, "category", n, "value", seed=3, fanout=fanout).collect()), key=repr)
+        by_slices = sorted(map(tuple, stratified_sample(df, "category", n, "value", seed=3, slices=16, max_ranked=20).collect()), key=repr)
+        assert by_lists == by_slices and (by_lists or n == 1)
+
+
+def test_counting_scans_read_key_and_category_only(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    spark.createDataFrame([(i, "A" if i % 3 else "B", "x" * 50, 1.5) for i in range(200)], "value long, category string, text string, w double").write.parquet(path)
+    sample = stratified_sample(spark.read.parquet(path), "category", 20, "value")
+    from complaintlens.operators import sampling
+
+    plan = sampling._narrow(spark.read.parquet(path), "category", "value", 42)._jdf.queryExecution().executedPlan().toString()
+    schemas = [part.split("\n")[0] for part in plan.split("ReadSchema: ")[1:]]
+    # The keyed branch reads two columns; the branch of rows without a key reads all, but only rows with a null key.
+    assert "struct<value:bigint,category:string>" in schemas
+    assert "IsNull(value)" in plan
+    assert sample.count() == 20
