@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from complaintlens.functions import vectors as V
-from complaintlens.operators import embedding, retrieval, sampling
+from complaintlens.operators import embedding, packed, retrieval, sampling
 from complaintlens.options import JobOptions
 from complaintlens.plans import inputs as I
 from complaintlens.plans import jobs
@@ -132,6 +132,15 @@ def topk_cosine_block(spark, folder):
     return rounded_score(hits)
 
 
+@query("topk_packed", _TOP5)
+def topk_packed(spark, folder):
+    """The same from vectors packed in float32 blocks: a float32 pass with an error bound, exact rescoring of candidates."""
+    path = scratch_dir(spark, "packed-vectors")
+    packed.pack_vectors(vectors(spark, folder), "vec_id", "embedding", WIDTH).write.option("compression", "none").parquet(path)
+    hits = packed.search_packed(spark.read.parquet(path), label_questions(spark, folder), 5, WIDTH, "vec_id")
+    return rounded_score(hits)
+
+
 @query(
     "topk_k_gt_n",
     f"""{_QUESTIONS}, pairs AS (SELECT a.question_id, b.question_id AS label,
