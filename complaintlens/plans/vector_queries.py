@@ -344,6 +344,25 @@ def ingest_stream(spark, folder):
     return _with_check(spark.read.parquet(table))
 
 
+@query(
+    "ingest_once",
+    f"""{_EXPORT} SELECT concat(complaint_id, '_0') AS chunk_id, coalesce(narrative, '') AS chunk_text, complaint_id,
+  coalesce(product_category, '') AS product_category, coalesce(product, '') AS product, coalesce(company, '') AS company,
+  coalesce(state, '') AS state, {_check_sql('unit')} FROM u""",
+)
+def ingest_once(spark, folder):
+    """The export streamed into a collection, a file at a time, then its files again (a replay): every id once."""
+    path = written(nested_export(spark, folder).repartition(3, "id"), "export")
+    schema = spark.read.parquet(path).schema
+    name = "ingested_" + scratch_dir(spark, "x").rsplit("-", 1)[1]
+    home, checkpoint = scratch_dir(spark, "ingested-collection"), scratch_dir(spark, "ingested-checkpoint")
+    ingest.ingest_collection_stream(spark, path, name, schema, WIDTH, home, checkpoint, files_per_batch=1).awaitTermination()
+    # The same files under new names: the stream takes them as new, the collection holds their ids already.
+    spark.read.parquet(path).repartition(2).write.mode("append").parquet(path)
+    ingest.ingest_collection_stream(spark, path, name, schema, WIDTH, home, checkpoint, files_per_batch=1).awaitTermination()
+    return _with_check(spark.table(name))
+
+
 @query(
     "detect_alt_names",
     f"""{_EXPORT} SELECT concat(complaint_id, '_0') AS chunk_id, narrative AS chunk_text,

@@ -94,3 +94,42 @@ def progress(query: StreamingQuery) -> dict[str, int]:
     if len(done) >= KEPT_REPORTS:
         raise RuntimeError(f"the run has {KEPT_REPORTS} reports or more; count the rows of the table instead")
     return {"batches": len(done), "rows": sum(int(p["numInputRows"]) for p in done)}
+
+
+def ingest_collection_stream(
+    spark: SparkSession,
+    source: str,
+    name: str,
+    schema: T.StructType,
+    width: int,
+    path: str | None = None,
+    checkpoint: str | None = None,
+    key: str = "chunk_id",
+    normalize: bool = True,
+    files_per_batch: int | None = None,
+    metadata_schema: T.StructType | None = None,
+) -> StreamingQuery:
+    """Starts a run that adds the files not ingested yet to the collection ``name``, each id once; it ends by itself.
+
+    Each micro-batch goes through ``collection.write_collection``: the first creates the collection, later ones append only
+    ids it does not hold (of rows that repeat an id in a batch, the one of smallest content hash). So the collection is that
+    of ``write_collection`` over the batches in order: a replayed file, or a batch run again after a restart, adds nothing, and
+    an id keeps the row of the first batch that brought it. The append meets the stored ids through the buckets of the
+    collection, without shuffling the stored table. Pass the ``checkpoint`` of the collection to go on with it in a later run.
+    """
+    from complaintlens.sources.collection import write_collection
+
+    rows = vectors_stream(spark, source, schema, width, normalize, files_per_batch, None, metadata_schema)
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        exists = batch.sparkSession.catalog.tableExists(name)
+        write_collection(batch, name, path, reset=not exists, key=key)
+
+    return (
+        rows.writeStream.foreachBatch(add)
+        .option("checkpointLocation", checkpoint or scratch_dir(spark, "collection-checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
