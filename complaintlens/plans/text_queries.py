@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from complaintlens.functions import text as T
-from complaintlens.operators import chunking, dashboard, prepare, profile, sampling
+from complaintlens.operators import chunking, dashboard, prepare, profile, sampling, sketches
 from complaintlens.plans import inputs as I
 from complaintlens.plans.registry import query
+from complaintlens.session import scratch_dir
 
 SAMPLE_TARGET = 120
 
@@ -319,6 +320,24 @@ def kpis(spark, folder):
     return dashboard.kpis(I.cleaned(spark, folder))
 
 
+@query(
+    "kpis_sketched",
+    f"""{I.WITH_CLEAN} SELECT count(*) AS n_rows, count(DISTINCT product_category) AS n_products,
+  count(DISTINCT company) AS n_companies, count(DISTINCT state) AS n_states FROM clean""",
+)
+def kpis_sketched(spark, folder):
+    """The cards from sketches per day: the days before the last are stored first, the last one appended, then united."""
+    cleaned = I.cleaned(spark, folder)
+    columns = ["product_category", "company", "state"]
+    last = cleaned.agg(F.max("date_received")).first()[0]
+    path = scratch_dir(spark, "day-sketches")
+    earlier = F.col("date_received").isNull() | (F.col("date_received") < F.lit(last))
+    sketches.period_sketches(cleaned.filter(earlier), "date_received", columns).write.parquet(path)
+    # A new day is added without reading the earlier ones again.
+    sketches.period_sketches(cleaned.filter(~earlier), "date_received", columns).write.mode("append").parquet(path)
+    return sketches.kpis_sketched(spark.read.parquet(path))
+
+
 # --- sampling --------------------------------------------------------------
 
 _TARGETS = f"""{I.WITH_CLEAN}, g AS (SELECT product_category, count(*) AS n FROM clean GROUP BY product_category),
