@@ -17,23 +17,26 @@ from pyspark.sql import functions as F
 from complaintlens.llm.words import alphanumeric_words, explode_grams, gram_hash
 from complaintlens.session import local_if_small, written_once
 
-BITS, LANES = 64, 16  # a counter of 16 bits for every 16th bit of a hash, four to a long
+BITS, LANES = 64, 32  # a counter of 32 bits for every 32nd bit of a hash, two to a long
 
 
 def _fingerprint(grams: DataFrame, keys: list[str], hash_col: str, weight_col: str) -> DataFrame:
-    """``keys`` and ``fp``: a bit is 1 if over half the weight of the hashes has it."""
-    mask = F.lit(0x0001000100010001)
+    """``keys`` and ``fp``: a bit is 1 if over half the weight of the hashes has it.
+
+    Counters hold up to 2^31 - 1 weighted hashes a key, so windows and items of up to two billion words.
+    """
+    mask = F.lit(0x0000000100000001)
     sums = [F.sum(F.shiftrightunsigned(hash_col, j).bitwiseAND(mask) * F.col(weight_col)).alias(f"lane{j}") for j in range(LANES)]
     summed = grams.groupBy(*keys).agg(*sums, F.sum(weight_col).alias("weight"))
 
     def bit(i: int) -> Column:
         lane, field = i % LANES, i // LANES
-        count = F.shiftrightunsigned(f"lane{lane}", 16 * field).bitwiseAND(F.lit(0xFFFF))
+        count = F.shiftrightunsigned(f"lane{lane}", 32 * field).bitwiseAND(F.lit(0xFFFFFFFF))
         return F.when(2 * count > F.col("weight"), F.lit(1 << i if i < BITS - 1 else -(1 << (BITS - 1)))).otherwise(F.lit(0).cast("long"))
 
     # The bits are disjoint, so the sum of their values is their union.
-    parts = [sum((bit(i) for i in range(16 * f + 1, 16 * f + 16)), bit(16 * f)) for f in range(4)]
-    return summed.select(*keys, (parts[0].bitwiseOR(parts[1])).bitwiseOR(parts[2].bitwiseOR(parts[3])).alias("fp"))
+    parts = [sum((bit(i) for i in range(32 * f + 1, 32 * f + 32)), bit(32 * f)) for f in range(2)]
+    return summed.select(*keys, parts[0].bitwiseOR(parts[1]).alias("fp"))
 
 
 def _blocks(fp: Column, blocks: int, variants: list[int]) -> Column:

@@ -104,3 +104,14 @@ def test_pipeline_stages(spark, docs, labels, items, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
         if stage is not corpus_pipeline.mix:
             assert kept.columns == corpus_pipeline.COLUMNS
+
+
+def test_decontamination_of_very_long_items(spark):
+    """Items and texts of 40,000 and 70,000 words, repeated and distinct, are found whole; counters do not overflow."""
+    from complaintlens.llm import decontamination
+
+    same, distinct = " ".join(["w"] * 70_000), " ".join(f"x{i}" for i in range(40_000))
+    docs = spark.createDataFrame([(1, same), (2, distinct), (3, "nothing here at all")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, same), (11, distinct)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.similarity for r in decontamination.find_items(docs, items).collect()}
+    assert found == {(1, 10): 1.0, (2, 11): 1.0}
