@@ -60,7 +60,7 @@ FROM rows JOIN levels USING (conv_id) GROUP BY conv_id
 
 MIX_SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, len({WORDS})::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+  SELECT doc_id, source, len({WORDS})::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || chr(31) || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM sized GROUP BY source),
 ranked AS (SELECT *, source_size::DOUBLE * 3 AS most, sum(source_size) OVER ()::DOUBLE AS total, sum(weight) OVER () AS weights FROM sources),
 units AS (SELECT *, (total - coalesce(sum(most) OVER o, 0)) / (weights - coalesce(sum(weight) OVER o, 0)) AS unit

@@ -76,10 +76,12 @@ def mix_sources(
     """One row per row of ``docs``: ``id_col``, the columns ``keep``, source, size, source_size, target (of the source), taken (words the mix takes).
 
     Size is the number of words between white space. ``taken`` is a multiple of size, ``cap`` times at most. Null texts and
-    blank texts have size 0 and take nothing; null sources are one source; rows that repeat an id share its hash and are
-    taken alike; other columns are left out; an empty table gives an empty result.
+    blank texts have size 0 and take nothing; null sources are one source. A document's hash is that of its id and text, so
+    rows without an id, or that share one, are told apart by their texts; only rows that repeat both share a hash and are
+    taken alike. Other columns are left out; an empty table gives an empty result.
     """
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    marked = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\x1f"), F.coalesce(F.col(text_col), F.lit("")))
+    digest = F.md5(marked.cast("binary"))
     carried = [f"c{i}" for i in range(len(keep))]
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(space_words(F.col(text_col))).cast("long").alias("size"),

@@ -107,3 +107,19 @@ def test_the_order_of_the_cascade_does_not_change_verdicts(spark):
     assert [r.kept for r in backwards] == kept
     order = quality_rules.estimate_order(df, "text", quality_rules.RULES)
     assert {r.name for r in order} == {r.name for r in quality_rules.RULES}
+
+
+def test_mix_reaches_targets_with_a_third_of_ids_null_or_repeated(spark):
+    """Rows without an id, or sharing one, are told apart by their texts, so every source comes near its target."""
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(3000):
+        doc_id = None if i % 3 == 0 else (i if i % 3 == 1 else 7)
+        rows.append((doc_id, " ".join("w" for _ in range(rng.randrange(1, 40))) + f" t{i}", f"s{i % 3}"))
+    found = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in ("s0", "s1", "s2"):
+        mine = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 3 * max(r.size for r in mine)
+        assert all(r.taken <= 3 * r.size for r in mine)
