@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from complaintlens.llm import recurrent
@@ -114,7 +114,7 @@ class Model:
         return recurrent.sigmoid(best)
 
 
-def train(texts: list[str | None], labels: np.ndarray, epochs: int = 3, steps: int = 400, rate: float = 0.01, batch: int = 64, max_words: int = 4000, seed: int = 1) -> Model:
+def train(texts: list[str | None], labels: np.ndarray, epochs: int = 8, steps: int = 400, rate: float = 0.01, batch: int = 64, max_words: int = 4000, seed: int = 1) -> Model:
     """A model of ``texts`` and their 0/1 ``labels``, trained for ``epochs`` and at least ``steps`` batches.
 
     With labels of one class or none it scores all texts alike.
@@ -215,22 +215,30 @@ def _learn(model: Model, adam: recurrent.Adam, window: np.ndarray, labels: np.nd
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held_out: int, max_per_class: int, max_chars: int) -> Model:
     """A network trained on at most ``max_per_class`` labelled documents of each class outside the held-out fold.
 
-    Documents of over ``max_chars`` characters are left out of the training sample, which bounds what the driver holds.
+    Of each class the documents are taken in the order of their id's hash while their characters add up to at most
+    ``max_chars``, which bounds what the driver holds; the first document of a class is always taken, however long. No text is
+    left out for its length alone, and a text is trained on whole (all its windows).
     """
     ids = training_ids(labels, id_col, label_col, folds, held_out, max_per_class)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
-    found = rows.join(F.broadcast(ids), "id").orderBy(F.xxhash64("id"), "id", "text").limit(2 * max_per_class).select("label", "text").toArrow()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # At most 2 * max_per_class rows from here on.
+    chosen = rows.join(F.broadcast(ids), "id").withColumn("order", F.xxhash64("id"))
+    before = Window.partitionBy("label").orderBy("order", "id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = chosen.withColumn("before", F.coalesce(F.sum(F.coalesce(F.length("text"), F.lit(0))).over(before), F.lit(0)))
+    chosen = chosen.withColumn("first", F.row_number().over(Window.partitionBy("label").orderBy("order", "id", "text")) == 1)
+    kept = chosen.filter(F.col("first") | (F.col("before") + F.coalesce(F.length("text"), F.lit(0)) <= max_chars))
+    found = kept.orderBy("order", "id", "text").limit(2 * max_per_class).select("label", "text").toArrow()
     return train(found["text"].to_pylist(), np.array(found["label"].to_pylist(), dtype=float))
 
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out: int = 0,
-    max_per_class: int = 1500, max_chars: int = 8000, threshold: float = 0.5,
+    max_per_class: int = 1500, max_chars: int = 12_000_000, threshold: float = 0.5,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, held_out, score (0 to 1, higher if label 1 is likelier), predicted.
 
     The network learns from rows of ``labels`` (``id_col``, ``label_col``) outside the fold that is held out, at most
-    ``max_per_class`` of each class with texts of up to ``max_chars`` characters; scores use all windows of whole texts. Null,
+    ``max_per_class`` of each class and ``max_chars`` characters a class (see ``fit_toxicity``); scores use all windows of whole texts. Null,
     empty and blank texts are one window without words. Repeated rows give repeated results, other columns are left out, an
     empty table gives an empty result; with labels of one class or none all scores are the same.
     """

@@ -115,3 +115,29 @@ def test_decontamination_of_very_long_items(spark):
     items = spark.createDataFrame([(10, same), (11, distinct)], "item_id long, text string")
     found = {(r.doc_id, r.item_id): r.similarity for r in decontamination.find_items(docs, items).collect()}
     assert found == {(1, 10): 1.0, (2, 11): 1.0}
+
+
+def test_toxicity_learns_from_long_labelled_texts(spark):
+    """Labelled texts of 10,000 to 12,500 characters are trained on whole, not left out for their length."""
+    import random
+
+    from complaintlens.llm import toxicity
+
+    rng = random.Random(4)
+    plain = [f"word{i}" for i in range(300)]
+    bad = ["hateful", "idiotic", "vile", "scum", "moron"]
+    rows, labels = [], []
+    for i in range(120):
+        toxic = i % 2
+        words = []
+        while len(" ".join(words)) < rng.randrange(10_000, 12_500):
+            words.append(rng.choice(bad) if toxic and rng.random() < 0.08 else rng.choice(plain))
+        rows.append((i, " ".join(words)))
+        labels.append((i, 0, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = toxicity.score_toxicity(docs, marks).collect()
+    truth = dict((i, t) for i, _, t in labels)
+    held = [r for r in found if r.held_out]
+    assert held and sum(r.predicted == truth[r.doc_id] for r in held) >= 0.9 * len(held)
+    assert 0 < sum(r.predicted for r in found) < len(found)
