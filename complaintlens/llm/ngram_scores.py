@@ -1,143 +1,51 @@
-"""Stupid-backoff scores of documents under bigram counts of the whole corpus.
+"""Stupid-backoff scores of documents under bigram counts of the whole corpus, computed relationally.
 
 The score of a word after another is count(pair) / count(pairs with that first word) if the pair is in the table, that
 is, seen at least ``min_count`` times, and else ``backoff`` times count(pairs with that second word) / count(all pairs). A
 text starts with a start sign as its first word.
 
-The pairs of all texts are exploded and dealt to parts by the hash of a word, so a part holds the count table of its
-words and all pairs to be joined to it. A pair goes to the part of its first word, which knows what it scores if it is in
-the table, and to that of its second word, which knows what it scores if it is not; both count the pair alike. Sums per
-document and part are then added up by document.
-
-Words and pairs that are frequent everywhere would make parts uneven. The most frequent ones are found first and counted
-exactly in a pass of their own; those counts are broadcast (a list of fixed length), so a pair of two such words
-goes to a part of its own hash, a pair of one to the part of the other word, and a frequent pair nowhere. The choice of
-the list does not change a score. Pairs travel packed, ten bytes each.
+The pairs of all texts are exploded. Count tables are aggregations with map-side combine: pairs, first words and second words,
+keyed by the whole words. Each distinct pair gets its score from the tables of its two words; the pairs of the texts are then
+joined to those scores by pair and summed per document. Keys are partitioned by hash, ``grams_per_part`` pairs a part. The
+``hot_pairs`` most frequent pairs and ``hot_words`` most frequent words are held by the driver (a list of fixed length) and
+broadcast, so a pair or word that a third of the corpus uses never lands in one task; the rest are joined by shuffle.
+Logarithms are summed as whole numbers (``SCALE`` per unit), so the order of the sum does not change a score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_WORDS, HOT_PAIRS = 16_384, 4_096  # fit the 16 bits of an index, with the words of the pairs
-BYTES_AT_ONCE = 1 << 20
-SCALE = 1 << 24  # logarithms are summed as whole numbers, so that the order does not matter
-START = np.uint64(0x5851F42D4C957F2D)  # stands for the word before the first
-OWN_SECOND, OTHER_HOT, BOTH_HOT = 1, 2, 4
-
-_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
-_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
-_CODES = np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the words between white space, ASCII letters lower-cased, of all texts, and the text of each word."""
-    raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    in_word = ~_SPACE[raw]
-    first = np.flatnonzero(in_word & ~np.concatenate([[False], in_word[:-1]]))
-    if not len(first):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    letters = _LOWER[raw[in_word]]
-    lengths = np.flatnonzero(in_word & ~np.concatenate([in_word[1:], [False]])) - first + 1
-    starts = np.cumsum(lengths) - lengths
-    powers = np.cumprod(np.full(int(lengths.max()), 0x5DEECE66D1234567, np.uint64))
-    hashes = np.add.reduceat(_CODES[letters] * powers[np.arange(len(letters)) - np.repeat(starts, lengths)], starts)
-    return _mixed(hashes), np.searchsorted(ends, first, side="right")
-
-
-def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return _mixed(first * np.uint64(0xD6E8FEB86659FD93) + second)
-
-
-def _pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First words, second words and texts of all pairs; there are as many as words."""
-    second, text = word_hashes(texts)
-    first = np.concatenate([[START], second[:-1]]).astype(np.uint64)[: len(second)]
-    first[np.concatenate([[True], text[1:] != text[:-1]])[: len(text)]] = START
-    return first, second, text
-
-
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        sizes = batch["data"].map(len).cumsum() // BYTES_AT_ONCE
-        for _, part in batch.groupby(sizes.to_numpy(), sort=False):
-            yield part
-
-
-class Hot:
-    """The frequent words and pairs with their exact counts."""
+from complaintlens.llm.words import lower_ascii, space_words
+from complaintlens.session import local_if_small, written_once
 
-    def __init__(self, words: np.ndarray, as_first: np.ndarray, as_second: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, total: int) -> None:
-        self.words, self.as_first, self.as_second, self.pairs, self.pair_counts, self.total = words, as_first, as_second, pairs, pair_counts, total
+HOT_WORDS, HOT_PAIRS = 16_384, 4_096
+SCALE = 1 << 24
+# Stands for the word before the first: words never hold white space.
+START = " "
 
-    @staticmethod
-    def find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Places of ``values`` in a sorted table, -1 where there is none."""
-        if not len(table):
-            return np.full(len(values), -1)
-        at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-        return np.where(table[at] == values, at, -1)
 
+def _hot_then_cold(left: DataFrame, table: DataFrame, keys: list[str], count: str, hot: int, parts: int) -> DataFrame:
+    """``left`` with the columns of ``table`` joined by ``keys``: the ``hot`` rows of largest ``count`` by broadcast, the rest by
+    a shuffle over ``parts`` hash partitions. Rows of ``left`` without a match are dropped (every key of ``left`` is in
+    ``table`` here)."""
+    ranked = table.orderBy(F.desc(count), *keys).limit(hot)
+    held = local_if_small(ranked, hot) if hot > 0 else None
+    if held is None:
+        return left.repartition(parts, *keys).join(table.repartition(parts, *keys), keys)
+    marked = held.withColumn("__hot", F.lit(True))
+    both = left.join(F.broadcast(marked), keys, "left")
+    found = both.filter(F.col("__hot").isNotNull()).drop("__hot")
+    rest = both.filter(F.col("__hot").isNull()).select(*left.columns)
+    cold = table.join(F.broadcast(held.select(*keys).withColumn("__hot", F.lit(True))), keys, "left_anti")
+    return found.unionByName(rest.repartition(parts, *keys).join(cold.repartition(parts, *keys), keys))
 
-def _candidates(rows: DataFrame, hot_words: int, hot_pairs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent words and pairs: of what is most frequent in each block, that with the largest sums."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _blocks(batches):
-            first, second, _ = _pairs(part["data"].tolist())
-            for kind, most, values in ((0, hot_words // 4, second), (1, hot_pairs // 4, pair_hash(first, second))):
-                found, at, counts = np.unique(values, return_index=True, return_counts=True)
-                top = np.argsort(-counts, kind="stable")[: max(1, most)]
-                top = top[counts[top] > 1]
-                yield pd.DataFrame({"kind": kind, "hash": found[top].view(np.int64), "first": first[at[top]].view(np.int64), "second": second[at[top]].view(np.int64), "n": counts[top]})
-
-    counted = rows.select("data").mapInPandas(count, "kind int, hash long, first long, second long, n long")
-    counted = counted.groupBy("kind", "hash").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min("second").alias("second"))
-    pairs = counted.filter("kind = 1").orderBy(F.desc("n"), "hash").limit(hot_pairs).toArrow()
-    words = counted.filter("kind = 0").orderBy(F.desc("n"), "hash").limit(hot_words).toArrow()
-    column = lambda table, name: np.array(table[name].to_pylist(), np.int64).view(np.uint64)
-    all_words = np.unique(np.concatenate([[START], column(words, "hash"), column(pairs, "first"), column(pairs, "second")]))
-    return all_words, np.unique(column(pairs, "hash"))
-
-
-def count_hot(rows: DataFrame, hot_words: int, hot_pairs: int) -> Hot:
-    words, pairs = _candidates(rows, hot_words, hot_pairs)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = [np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64), np.zeros(len(pairs) + 1, np.int64), np.zeros(1, np.int64)]
-        for part in _blocks(batches):
-            first, second, _ = _pairs(part["data"].tolist())
-            for total, table, values in zip(sums, (words, words, pairs), (first, second, pair_hash(first, second)), strict=False):
-                total += np.bincount(Hot.find(table, values) + 1, minlength=len(total))
-            sums[3] += len(second)
-        yield pd.concat([pd.DataFrame({"kind": kind, "at": np.arange(len(part)), "n": part}) for kind, part in enumerate((sums[0][1:], sums[1][1:], sums[2][1:], sums[3]))])
-
-    found = rows.select("data").mapInPandas(count, "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    sums = [np.zeros(n, np.int64) for n in (len(words), len(words), len(pairs), 1)]
-    for kind, part in found.groupby("kind"):
-        sums[kind][part["at"].to_numpy()] = part["n"].to_numpy()
-    return Hot(words, sums[0], sums[1], pairs, sums[2], int(sums[3][0]))
-
-
-def _logs(counts: np.ndarray) -> np.ndarray:
-    return np.log(np.maximum(counts, 1))
-
-
-def _scaled(logs: np.ndarray) -> np.ndarray:
-    return np.rint(logs * SCALE).astype(np.int64)
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(rid, a, b): a row per word of each text, b the word and a the one before it (``START`` for the first)."""
+    before = F.slice(F.concat(F.array(F.lit(START)), F.col("w")), 1, F.size("w"))
+    return rows.select("rid", F.explode(F.arrays_zip(before.alias("a"), F.col("w").alias("b"))).alias("p")).select("rid", "p.a", "p.b")
 
 
 def score_documents(
@@ -148,98 +56,26 @@ def score_documents(
 
     Counts are over all rows of ``docs``, repeated ones each time. Words are what stands between white space, with A-Z lower-cased.
     Null, empty and blank texts have no words and scores of 0. Null ids stay null, other columns are left out, an empty table
-    gives an empty result. A word longer than a block of text is still one word.
+    gives an empty result. Very long texts and words are taken whole. A pair's score is rounded to 1 / ``SCALE`` before it is
+    summed.
     """
-    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), data.alias("data"))
-    hot = count_hot(rows, hot_words, hot_pairs)
-    parts = max(1, -(-hot.total // grams_per_part))
-    log_first, log_second, log_pair = _logs(hot.as_first), np.log(backoff) + _logs(hot.as_second) - np.log(max(hot.total, 1)), _logs(hot.pair_counts)
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        context, number = TaskContext.get(), 0
-        for part in _blocks(batches):
-            texts = part["data"].tolist()
-            first, second, text = _pairs(texts)
-            block, number = (context.partitionId() << 32) + number, number + 1
-            one, two, pair = Hot.find(hot.words, first), Hot.find(hot.words, second), Hot.find(hot.pairs, pair_hash(first, second))
-            here = pair >= 0
-            known = np.where(hot.pair_counts[pair[here]] >= min_count, log_pair[pair[here]] - log_first[one[here]], log_second[two[here]]) if here.any() else np.zeros(0)
-            sums = np.zeros(len(texts), np.int64)
-            np.add.at(sums, text[here], _scaled(known))
-            yield pd.DataFrame({"part": np.arange(len(texts)) % parts, "block": block, "doc": np.arange(len(texts)), "id": part["id"].to_numpy(), "n_words": np.bincount(text, minlength=len(texts)), "total": sums, "data": None})
-            entries = []
-            for mask, own, other, flag in (
-                (~here & (one >= 0) & (two >= 0), pair_hash(first, second), (one << 16) | two, BOTH_HOT),
-                (~here & (one < 0) & (two >= 0), first, two, OTHER_HOT),
-                (~here & (one < 0) & (two < 0), first, second >> np.uint64(32), 0),
-                (~here & (one >= 0) & (two < 0), second, one, OWN_SECOND | OTHER_HOT),
-                (~here & (one < 0) & (two < 0), second, first >> np.uint64(32), OWN_SECOND),
-            ):
-                at = np.flatnonzero(mask)
-                entries.append((own[at], other[at].astype(np.uint32), np.full(len(at), flag, np.uint8), text[at]))
-            own, other, flag, doc = (np.concatenate(x) for x in zip(*entries, strict=True))
-            to = (own % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(to * len(texts) + doc, kind="stable")
-            own, other, flag, doc, to = own[order], other[order], flag[order], doc[order], to[order]
-            bounds = np.searchsorted(to, np.arange(parts + 1))
-            own5 = np.ascontiguousarray((own >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
-            out = []
-            for p in np.flatnonzero(np.diff(bounds)):
-                a, b = bounds[p], bounds[p + 1]
-                per_doc = np.bincount(doc[a:b], minlength=len(texts)).astype(np.uint32)
-                out.append((p, b"".join([np.uint32([len(texts)]).tobytes(), per_doc.tobytes(), own5[a:b].tobytes(), other[a:b].tobytes(), flag[a:b].tobytes()])))
-            yield pd.DataFrame({"part": [p for p, _ in out], "block": block, "doc": -1, "id": None, "n_words": 0, "total": 0, "data": [d for _, d in out]})
-
-    def unpack(data: bytes) -> tuple[np.ndarray, ...]:
-        docs_ = int(np.frombuffer(data, np.uint32, 1)[0])
-        per_doc = np.frombuffer(data, np.uint32, docs_, 4)
-        n, at = int(per_doc.sum()), 4 + 4 * docs_
-        own = np.zeros((n, 8), np.uint8)
-        own[:, :5] = np.frombuffer(data, np.uint8, 5 * n, at).reshape(n, 5)
-        other = np.frombuffer(data[at + 5 * n : at + 9 * n], np.uint32)
-        return own.view(np.uint64)[:, 0], other, np.frombuffer(data, np.uint8, n, at + 9 * n), np.repeat(np.arange(docs_), per_doc)
-
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        plain, packed = group[group["doc"] >= 0], group[group["doc"] < 0]
-        out = [plain[["block", "doc", "id", "n_words", "total", "data"]]]
-        if len(packed):
-            own, other, flag, doc = (np.concatenate(x) for x in zip(*map(unpack, packed["data"]), strict=True))
-            sizes = np.fromiter((int(np.frombuffer(d, np.uint32, 1)[0]) for d in packed["data"]), np.int64, len(packed))
-            lengths = np.fromiter(((len(d) - 4 - 4 * s) // 10 for d, s in zip(packed["data"], sizes, strict=True)), np.int64, len(packed))
-            row = np.repeat(np.cumsum(sizes) - sizes, lengths) + doc
-            # The tables of this part: counts of words in either place, and of pairs.
-            kind = own << np.uint64(3) | flag
-            _, word, = np.unique(own << np.uint64(1) | (flag & OWN_SECOND), return_inverse=True)
-            _, name = np.unique(kind, return_inverse=True)
-            _, pair = np.unique((name.astype(np.uint64) << np.uint64(32)) | other, return_inverse=True)
-            log_word, counts = _logs(np.bincount(word))[word], np.bincount(pair)[pair]
-            seen, both, second, hot_other = counts >= min_count, flag == BOTH_HOT, (flag & OWN_SECOND) > 0, (flag & OTHER_HOT) > 0
-            first_log = np.where(both, log_first[np.minimum(other >> 16, len(log_first) - 1)], np.where(second, log_first[np.minimum(other, len(log_first) - 1)], log_word))
-            in_table = np.where(both | hot_other | ~second, _logs(counts) - first_log, 0.0)
-            second_log = np.where(both, log_second[np.minimum(other & 0xFFFF, len(log_second) - 1)], np.where(second, np.log(backoff) + log_word - np.log(hot.total), log_second[np.minimum(other, len(log_second) - 1)]))
-            not_in_table = np.where(both | hot_other | second, second_log, 0.0)
-            sums = np.zeros(int(sizes.sum()), np.int64)
-            np.add.at(sums, row, _scaled(np.where(seen, in_table, not_in_table)))
-            # One row goes back to each block, with the documents that had pairs here and their sums.
-            found = []
-            for part_sums in np.split(sums, np.cumsum(sizes)[:-1]):
-                touched = np.flatnonzero(part_sums)
-                found.append(touched.astype(np.int32).tobytes() + part_sums[touched].tobytes())
-            out.append(pd.DataFrame({"block": packed["block"].to_numpy(), "doc": -1, "id": None, "n_words": 0, "total": 0, "data": found}))
-        return pd.concat(out)
-
-    def gather(group: pd.DataFrame) -> pd.DataFrame:
-        """The documents of a block with the sums of all parts."""
-        block, packed = group[group["doc"] >= 0].sort_values("doc"), group.loc[group["doc"] < 0, "data"]
-        total = block["total"].to_numpy().copy()
-        for part in packed:
-            n = len(part) // 12
-            total[np.frombuffer(part, np.int32, n)] += np.frombuffer(part, np.int64, n, 4 * n)
-        return pd.DataFrame({"id": block["id"], "n_words": block["n_words"], "log_score": total / SCALE})
-
-    dealt = rows.mapInPandas(deal, "part int, block long, doc int, id string, n_words long, total long, data binary")
-    sums = dealt.groupBy("part").applyInPandas(join, "block long, doc int, id string, n_words long, total long, data binary")
-    summed = sums.groupBy("block").applyInPandas(gather, "id string, n_words long, log_score double")
-    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(F.lit(0.0))
-    return summed.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "log_score", mean.alias("mean_log_score"))
+    words = space_words(lower_ascii(F.col(text_col)))
+    rows = written_once(docs.select(F.col(id_col).alias("id"), words.alias("w")).withColumn("rid", F.monotonically_increasing_id()), "lm-rows")
+    pairs = _pairs(rows)
+    both = written_once(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_both")), "lm-pair-counts")
+    total = both.agg(F.sum("n_both")).first()[0] or 0
+    parts = max(1, -(-total // grams_per_part))
+    firsts = both.groupBy("a").agg(F.sum("n_both").alias("n_first"))
+    seconds = both.groupBy("b").agg(F.sum("n_both").alias("n_second"))
+    scored = _hot_then_cold(both, firsts, ["a"], "n_first", hot_words, parts)
+    scored = _hot_then_cold(scored, seconds, ["b"], "n_second", hot_words, parts)
+    known = F.log(F.col("n_both").cast("double")) - F.log(F.col("n_first").cast("double"))
+    unknown = (F.log(F.lit(float(backoff))) + F.log(F.col("n_second").cast("double"))) - F.log(F.lit(float(max(total, 1))))
+    value: Column = F.when(F.col("n_both") >= min_count, known).otherwise(unknown)
+    pair_scores = written_once(scored.select("a", "b", "n_both", F.round(F.lit(float(SCALE)) * value).cast("long").alias("s")), "lm-pair-scores")
+    joined = _hot_then_cold(pairs, pair_scores, ["a", "b"], "n_both", hot_pairs, parts)
+    sums = joined.groupBy("rid").agg(F.sum("s").alias("total"))
+    n_words = F.size("w").cast("long")
+    log_score = F.coalesce(F.col("total"), F.lit(0)).cast("double") / SCALE
+    out = rows.join(sums, "rid", "left").select(F.col("id").alias(id_col), n_words.alias("n_words"), log_score.alias("log_score"))
+    return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(F.lit(0.0)))
