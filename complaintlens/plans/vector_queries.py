@@ -401,6 +401,27 @@ def expand_json(spark, folder):
     return exports.expand_metadata(events, "props")
 
 
+@query(
+    "variant_stream",
+    """SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""",
+)
+def variant_stream(spark, folder):
+    """The events streamed with their JSON kept as VARIANT (no schema pass), stored, and key k read from the stored table."""
+    source, target = scratch_dir(spark, "events-json"), scratch_dir(spark, "events-variant")
+    I.table(spark, folder, "events").select("event_id", "event_type", "props").write.parquet(source)
+    stream = spark.readStream.schema("event_id long, event_type string, props string").parquet(source)
+    query = (
+        exports.metadata_as_variant(stream, "props")
+        .writeStream.format("parquet")
+        .option("path", target)
+        .option("checkpointLocation", scratch_dir(spark, "events-variant-checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return exports.metadata_values(spark.read.parquet(target), "props", {"k": "bigint"})
+
+
 @query(
     "metadata_table",
     f"""{_EXPORT} SELECT concat(complaint_id, '_0') AS chunk_id, narrative AS chunk_text,

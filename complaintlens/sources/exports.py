@@ -215,3 +215,24 @@ def load_index_and_metadata(
 
 def index_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_vectors"))
+
+
+def metadata_as_variant(df: DataFrame, column: str) -> DataFrame:
+    """The column of JSON texts as VARIANT, parsed row by row without a pass to find its keys; a text that is not JSON is null.
+
+    A stream can carry it so, since no schema is needed; keys are read later with ``metadata_values``.
+    """
+    return df.withColumn(column, F.try_parse_json(F.col(column)))
+
+
+def metadata_values(df: DataFrame, column: str, keys: dict[str, str]) -> DataFrame:
+    """One column per entry of ``keys`` (name: Spark type) read from the VARIANT ``column``, which goes; a missing key or a
+    value that cannot be cast is null. A key named like a column of the table is kept under ``{column}_{key}``."""
+    taken = {name.lower() for name in df.columns if name != column}
+    values = []
+    for key, kind in keys.items():
+        name = f"{column}_{key}" if key.lower() in taken else key
+        taken.add(name.lower())
+        path = "$." + key if key.isidentifier() else f"$['{key}']"
+        values.append(F.try_variant_get(F.col(column), path, kind).alias(name))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != column], *values)
