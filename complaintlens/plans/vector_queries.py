@@ -79,6 +79,27 @@ def dim_violations(spark, folder):
     return exports.width_violations(vectors(spark, folder), WIDTH)
 
 
+@query(
+    "observed_checks",
+    f"""SELECT count(*) AS n_vectors, count(*) FILTER (len(embedding) <> {WIDTH}) AS n_wrong_width, 0::BIGINT AS n_non_finite,
+  count(*) AS streamed_rows, count(*) FILTER (len(embedding) <> {WIDTH}) AS streamed_wrong_width FROM embeddings""",
+)
+def observed_checks(spark, folder):
+    """The checks of dim_violations counted by the jobs that write the vectors: a batch write and a stream, no second pass."""
+    path = scratch_dir(spark, "observed-vectors")
+    written_figures = exports.write_observed(vectors(spark, folder), path, WIDTH)
+    totals = ingest.RunTotals().attach(spark)
+    try:
+        stream = ingest.observed_stream(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path), WIDTH)
+        run = stream.writeStream.format("noop").option("checkpointLocation", scratch_dir(spark, "observed-checkpoint")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        streamed = totals.of(run)
+    finally:
+        totals.detach(spark)
+    row = (written_figures["n_vectors"], written_figures["n_wrong_width"], written_figures["n_non_finite"], streamed["rows"], streamed.get("n_wrong_width", 0))
+    return spark.createDataFrame([row], "n_vectors long, n_wrong_width long, n_non_finite long, streamed_rows long, streamed_wrong_width long")
+
+
 @query(
     "non_finite",
     f"""WITH dirty AS (SELECT CASE vec_id % 7 WHEN 0 THEN 'NaN'::FLOAT WHEN 1 THEN 'Infinity'::FLOAT WHEN 2 THEN NULL ELSE embedding[1] END AS x,

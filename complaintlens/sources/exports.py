@@ -236,3 +236,25 @@ def metadata_values(df: DataFrame, column: str, keys: dict[str, str]) -> DataFra
         path = "$." + key if key.isidentifier() else f"$['{key}']"
         values.append(F.try_variant_get(F.col(column), path, kind).alias(name))
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c != column], *values)
+
+
+def vector_checks(width: int, vector: str = "embedding") -> list[Column]:
+    """Number of vectors, of those without a vector of the given width, and of those that are not finite."""
+    size = F.coalesce(F.size(vector), F.lit(-1))
+    return [
+        F.count(F.lit(1)).alias("n_vectors"),
+        F.count_if(size != width).alias("n_wrong_width"),
+        F.count_if(~is_finite(F.col(vector))).alias("n_non_finite"),
+    ]
+
+
+def write_observed(df: DataFrame, path: str, width: int, vector: str = "embedding") -> dict[str, int]:
+    """Writes ``df`` as parquet and returns the figures of ``width_violations``, counted by the writing job itself.
+
+    The figures are an observation of the write (``DataFrame.observe``): no second pass over the table.
+    """
+    from pyspark.sql import Observation
+
+    seen = Observation("vector-checks")
+    df.observe(seen, *vector_checks(width, vector)).write.parquet(path)
+    return dict(seen.get)

@@ -133,3 +133,61 @@ def ingest_collection_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+class RunTotals:
+    """Rows and observed checks of streaming runs, summed from progress events as they come; nothing is kept per batch.
+
+    ``attach`` registers it with the session's streams; ``of(query)`` gives a run's totals.
+    """
+
+    def __init__(self) -> None:
+        from pyspark.sql.streaming import StreamingQueryListener
+
+        totals: dict[str, dict[str, int]] = {}
+        self.totals = totals
+
+        class Listener(StreamingQueryListener):
+            def onQueryStarted(self, event) -> None:
+                totals.setdefault(str(event.id), {"batches": 0, "rows": 0})
+
+            def onQueryProgress(self, event) -> None:
+                done = totals.setdefault(str(event.progress.id), {"batches": 0, "rows": 0})
+                done["batches"] += 1
+                done["rows"] += int(event.progress.numInputRows)
+                for metrics in event.progress.observedMetrics.values():
+                    for name, value in metrics.asDict().items():
+                        done[name] = done.get(name, 0) + int(value or 0)
+
+            def onQueryIdle(self, event) -> None:
+                pass
+
+            def onQueryTerminated(self, event) -> None:
+                totals.setdefault(str(event.id), {"batches": 0, "rows": 0})["ended"] = 1
+
+        self.listener = Listener()
+
+    def attach(self, spark: SparkSession) -> RunTotals:
+        spark.streams.addListener(self.listener)
+        return self
+
+    def detach(self, spark: SparkSession) -> None:
+        spark.streams.removeListener(self.listener)
+
+    def of(self, query: StreamingQuery, wait_s: float = 60.0) -> dict[str, int]:
+        """The totals of ``query``; after it ended, once its last events have come (events come after the run, in order)."""
+        import time
+
+        until = time.monotonic() + wait_s
+        while not query.isActive and not self.totals.get(str(query.id), {}).get("ended") and time.monotonic() < until:
+            time.sleep(0.05)
+        found = dict(self.totals.get(str(query.id), {"batches": 0, "rows": 0}))
+        found.pop("ended", None)
+        return found
+
+
+def observed_stream(rows: DataFrame, width: int, vector: str = "embedding") -> DataFrame:
+    """``rows`` with the checks of ``width_violations`` observed in every micro-batch (name ``checks``)."""
+    from complaintlens.sources.exports import vector_checks
+
+    return rows.observe("checks", *vector_checks(width, vector))
