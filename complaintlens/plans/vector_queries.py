@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from complaintlens.functions import vectors as V
-from complaintlens.operators import embedding, packed, retrieval, sampling
+from complaintlens.operators import embedding, packed, retrieval
 from complaintlens.options import JobOptions
 from complaintlens.plans import inputs as I
 from complaintlens.plans import jobs
