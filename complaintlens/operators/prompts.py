@@ -124,6 +124,14 @@ def generate(
     return df.withColumn(output, answers.asNondeterministic()(F.col(prompt)))
 
 
+def _with_fallback(primary: GeneratorFactory, fallback: GeneratorFactory) -> GeneratorFactory:
+    def both() -> Generate:
+        first, second = primary(), fallback()
+        return lambda text: (first(text) or "") or second(text)
+
+    return both
+
+
 def generate_with_fallback(
     df: DataFrame,
     primary: GeneratorFactory,
@@ -140,6 +148,59 @@ def generate_with_fallback(
     return generate(df, both, prompt, output)
 
 
+def _stored_log(df: DataFrame, log_path: str) -> DataFrame | None:
+    """The answer log at ``log_path``, or None before the first run wrote it."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return df.sparkSession.read.parquet(log_path)
+    except AnalysisException:
+        return None
+
+
+def generate_logged(
+    df: DataFrame, factory: GeneratorFactory, log_path: str, question_id: str = "question_id", prompt: str = "prompt", output: str = "answer"
+) -> DataFrame:
+    """As ``generate``, but answers go to a log that later runs go on from; adds ``output`` and ``attempts``.
+
+    The log at ``log_path`` (a shared folder) has a row per question asked and attempt: ``question_id``, attempt, answer,
+    error. Only questions without an answer in the log are asked, each once a run; a generator that fails for a prompt
+    leaves an error there, and the question open for the next run instead of failing the job. The log is appended by one
+    write per run, so a job that fails adds nothing. ``output`` is null for questions still open.
+    """
+    log = _stored_log(df, log_path)
+    open_ = df
+    if log is not None:
+        done = log.filter(F.col("error").isNull()).select(question_id).distinct()
+        tries = log.groupBy(question_id).agg(F.max("attempt").alias("_tries"))
+        open_ = df.join(done, question_id, "left_anti").join(tries, question_id, "left")
+    else:
+        open_ = df.withColumn("_tries", F.lit(None).cast("int"))
+
+    @F.pandas_udf("answer string, error string")
+    def asked(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        answer = factory()
+
+        def one(text: str) -> tuple[str | None, str | None]:
+            try:
+                return (answer(text) or "").strip(), None
+            except Exception as failure:  # noqa: BLE001 - any failure of a model call leaves the question open
+                return None, f"{type(failure).__name__}: {failure}"[:1000]
+
+        for prompts in parts:
+            found = [one(text) for text in prompts]
+            yield pd.DataFrame({"answer": [a for a, _ in found], "error": [e for _, e in found]})
+
+    result = asked.asNondeterministic()(F.col(prompt))
+    fresh = open_.select(question_id, (F.coalesce(F.col("_tries"), F.lit(0)) + 1).cast("int").alias("attempt"), result.alias("_r"))
+    fresh.select(question_id, "attempt", "_r.answer", "_r.error").write.mode("append").parquet(log_path)
+    log = df.sparkSession.read.parquet(log_path)
+    answered = log.groupBy(question_id).agg(
+        F.max(F.when(F.col("error").isNull(), F.col("answer"))).alias(output), F.count(F.lit(1)).cast("int").alias("attempts")
+    )
+    return df.join(answered, question_id, "left")
+
+
 def answer_questions(
     questions: DataFrame,
     sources: DataFrame,
@@ -148,8 +209,12 @@ def answer_questions(
     question_id: str = "question_id",
     question: str = "question",
     organisation: str = DEFAULT_ORGANISATION,
+    log_path: str | None = None,
 ) -> DataFrame:
-    """Answer, sources and prompt of each question. Blank questions get status ``empty`` and no answer."""
+    """Answer, sources and prompt of each question. Blank questions get status ``empty`` and no answer.
+
+    With ``log_path`` answers are logged and a run asks only what earlier runs left open (``generate_logged``).
+    """
     marked = question_status(questions, question)
     asked = marked.filter(F.col("status") == "ok")
     prompts = with_sources(asked, sources, question_id)
@@ -157,7 +222,10 @@ def answer_questions(
     # Prompts are small but slow to answer, so their number rather than their bytes decides on the tasks.
     tasks = max(1, -(-asked.count() // PROMPTS_PER_TASK))
     prompts = prompts.repartition(tasks, question_id)
-    if fallback is None:
+    if log_path is not None:
+        both = factory if fallback is None else _with_fallback(factory, fallback)
+        answered = generate_logged(prompts, both, log_path, question_id)
+    elif fallback is None:
         answered = generate(prompts, factory)
     else:
         answered = generate_with_fallback(prompts, factory, fallback)

@@ -213,6 +213,41 @@ def rag_answers(spark, folder):
     )
 
 
+def failing_once(options: JobOptions) -> prompts.Generate:
+    """The extractive generator, but one that fails for about every third prompt (by its hash), as a model service may."""
+    import zlib
+
+    plain = prompts.extractive()
+
+    def answer(text: str) -> str:
+        if zlib.crc32(text.encode()) % 3 == 0:
+            raise TimeoutError("the model did not answer")
+        return plain(text)
+
+    return answer
+
+
+@query(
+    "rag_answers_resumed",
+    f"""{_PROMPTS} SELECT question_id, question, 'ok' AS status, {_FIRST} AS answer,
+  (SELECT count(*) FROM src WHERE src.question_id = prompts.question_id) AS n_sources FROM prompts
+UNION ALL SELECT question_id, question, 'empty', NULL, 0 FROM asked WHERE NOT {I.sql_has_text('question')}""",
+)
+def rag_answers_resumed(spark, folder):
+    """rag_answers through an answer log: a first run whose model fails for some prompts, a second that asks only those."""
+    log = scratch_dir(spark, "answer-log")
+    stored, asked = index(spark, folder), questions(spark, folder)
+    jobs.answer(stored, asked, OPTIONS, generator=failing_once, clean_questions=True, log_path=log)
+    told = jobs.answer(stored, asked, OPTIONS, clean_questions=True, log_path=log)
+    return told.select(
+        "question_id",
+        "question",
+        "status",
+        "answer",
+        F.coalesce(F.array_size("sources"), F.lit(0)).cast("long").alias("n_sources"),
+    )
+
+
 @query(
     "numbered_sources",
     f"{_FOUND} SELECT question_id, rank AS source_number, chunk_id, product_category, company FROM src",

@@ -78,9 +78,12 @@ def answer(
     fallback: Callable[[JobOptions], Generate] | None = None,
     clean_questions: bool = False,
     organisation: str = DEFAULT_ORGANISATION,
+    log_path: str | None = None,
 ) -> DataFrame:
     """Questions (question_id, question) to answers with sources and prompts.
 
+    With ``log_path`` answers are logged there, and a rerun asks only questions still without an answer.
+
     Generators are made in the tasks from the options, which hold the temperature and the length of answers.
     ``clean_questions`` is for an embedder that knows cleaned text only, as the hashed one does.
     """
@@ -88,4 +91,4 @@ def answer(
     vectors = embed_questions(asked, "question", embedder, options.vector_width, clean_questions)
     sources = find_sources(index, vectors, options)
     other = None if fallback is None else lambda: fallback(options)
-    return answer_questions(questions, sources, lambda: generator(options), other, organisation=organisation)
+    return answer_questions(questions, sources, lambda: generator(options), other, organisation=organisation, log_path=log_path)
