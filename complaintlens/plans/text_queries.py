@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from complaintlens.functions import text as T
-from complaintlens.operators import chunking, dashboard, prepare, profile, sampling, sketches
+from complaintlens.operators import chunking, dashboard, frequent, prepare, profile, sampling, sketches
 from complaintlens.plans import inputs as I
 from complaintlens.plans.registry import query
 from complaintlens.session import scratch_dir
@@ -293,6 +293,12 @@ def top_companies(spark, folder):
     return dashboard.top_companies(I.cleaned(spark, folder))
 
 
+@query("top_companies_frequent", _top_sql("company", 10))
+def top_companies_frequent(spark, folder):
+    """top_companies from per-task frequent-value summaries, candidates counted exactly, the top proven complete."""
+    return frequent.top_frequent(I.cleaned(spark, folder), "company", 10)
+
+
 @query("state_distribution", _top_sql("state", 15))
 def state_distribution(spark, folder):
     return dashboard.state_distribution(I.cleaned(spark, folder))
