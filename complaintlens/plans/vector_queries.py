@@ -12,8 +12,8 @@ from complaintlens.plans import inputs as I
 from complaintlens.plans import jobs
 from complaintlens.plans.registry import query
 from complaintlens.plans.text_queries import SAMPLE_SQL, SAMPLE_TARGET
-from complaintlens.session import scratch_dir
-from complaintlens.sources import collection, columns, complaints, exports, split_csv
+from complaintlens.session import scratch_dir, written_once
+from complaintlens.sources import collection, columns, complaints, exports, lookup, split_csv
 from complaintlens.streaming import ingest
 
 # The stored vectors of the test tables are 64 wide.
@@ -192,6 +192,21 @@ def retrieve_sources(spark, folder):
     return rounded_score(retrieval.attach_metadata(hits, metadata, "vec_id"))
 
 
+@query(
+    "retrieve_sources_lookup",
+    f"""{_SCORED}, cc AS ({I._CC}), mapped AS (SELECT *, {I._sql_category('product')} AS product_category FROM cc)
+SELECT question_id, vec_id, round(score, 6) AS score, rank, product_category, company, state, narrative
+FROM ranked LEFT JOIN mapped ON vec_id = complaint_id WHERE rank <= 5""",
+)
+def retrieve_sources_lookup(spark, folder):
+    """retrieve_sources with the metadata stored by key range with bloom filters, read only where hit keys can be."""
+    hits = written_once(retrieval.retrieve(vectors(spark, folder), label_questions(spark, folder), 5, WIDTH, "vec_id", "embedding"), "hits")
+    metadata = I.mapped(spark, folder).select(F.col("complaint_id").alias("vec_id"), "product_category", "company", "state", "narrative")
+    path = scratch_dir(spark, "metadata-by-key")
+    lookup.write_lookup_table(metadata, path, "vec_id", rows_per_file=2_000)
+    return rounded_score(lookup.attach_looked_up(hits, path, "vec_id"))
+
+
 @query(
     "self_retrieval",
     """WITH sample AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0),
