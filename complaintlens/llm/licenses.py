@@ -51,7 +51,8 @@ def scan_licenses(
 
     ``n_base`` counts the places where the words of a phrase stand consecutively, ``first_word`` and ``last_word`` are the
     smallest and largest start of those (null if none). ``labels`` also has the labels of notices of whose k-grams at least
-    ``coverage`` lie on diagonals at most ``max_shift`` apart. ``score`` is the largest share found of any template.
+    ``coverage`` lie on diagonals at most ``max_shift`` apart, in a band whose first and last diagonal differ by at most
+    max(``max_shift``, floor((1 - ``coverage``) * template words)); a wider band is scattered k-grams and has share 0. ``score`` is the largest share found of any template.
     ``spans`` lists (label, first word, last word, share), in order. Null and blank texts have no words. Rows that repeat
     an id and text give repeated results, also if the id is null. Other columns are left out; an empty table gives an
     empty result.
@@ -88,6 +89,10 @@ def _summarise(hits: DataFrame, id_col: str, coverage: float, max_shift: int) ->
         F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("votes"), F.min("diagonal").alias("start"), F.max("diagonal").alias("stop"), F.max("copies").alias("copies")
     )
     spans = spans.withColumn("share", F.col("votes") / F.col("grams"))
+    # Verification: a band may drift by inserted or left-out words, at most a (1 - coverage) share of the template (and
+    # ``max_shift``); k-grams scattered over a longer stretch are no copy of it, and their band counts for nothing.
+    drift = F.greatest(F.lit(max_shift).cast("double"), F.floor(F.col("length") * (1 - coverage) + 1e-9))
+    spans = spans.withColumn("share", F.when(F.col("exact") | (F.col("stop") - F.col("start") <= drift), F.col("share")).otherwise(F.lit(0.0)))
     base = F.col("exact") & (F.col("share") == 1)
     found = base | (~F.col("exact") & (F.col("share") >= coverage))
     span = F.struct("label", F.col("start").cast("long").alias("first_word"), (F.col("stop") + F.col("length") - 1).cast("long").alias("last_word"), "share")

@@ -25,8 +25,11 @@ diagonals AS (SELECT DISTINCT doc_id, tpl, exact, diagonal FROM votes),
 marked AS (SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER o > 3, true) THEN 1 ELSE 0 END AS apart
   FROM diagonals WINDOW o AS (PARTITION BY doc_id, tpl ORDER BY diagonal)),
 bands AS (SELECT doc_id, tpl, diagonal, sum(apart) OVER (PARTITION BY doc_id, tpl ORDER BY diagonal) AS band FROM marked),
-spans AS (SELECT doc_id, tpl, label, exact, band, count(DISTINCT t) / any_value(grams)::DOUBLE AS share, min(diagonal) AS first
+spans0 AS (SELECT doc_id, tpl, label, exact, band, count(DISTINCT t) / any_value(grams)::DOUBLE AS share, min(diagonal) AS first,
+    max(diagonal) - min(diagonal) AS drift, any_value(length) AS length
   FROM votes JOIN bands USING (doc_id, tpl, diagonal) GROUP BY doc_id, tpl, label, exact, band),
+spans AS (SELECT doc_id, tpl, label, exact, band, first,
+    CASE WHEN exact OR drift <= greatest(3, floor(length * 0.2 + 1e-9)) THEN share ELSE 0.0 END AS share FROM spans0),
 found AS (SELECT doc_id,
     count(*) FILTER (exact AND share = 1) AS n_base,
     min(first) FILTER (exact AND share = 1) AS first_word, max(first) FILTER (exact AND share = 1) AS last_word,

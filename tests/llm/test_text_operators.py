@@ -123,3 +123,16 @@ def test_mix_reaches_targets_with_a_third_of_ids_null_or_repeated(spark):
         mine = [r for r in found if r.source == source]
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= 3 * max(r.size for r in mine)
         assert all(r.taken <= 3 * r.size for r in mine)
+
+
+def test_scattered_trigrams_of_a_notice_are_no_license(spark):
+    """Each trigram of a notice followed by a foreign word: the diagonals drift 3 a step; no label. Two words put in: found."""
+    from complaintlens.llm import licenses
+
+    notice = next(t for t, label in licenses.NOTICES.items() if label == "mit").split()
+    scattered = " ".join(" ".join(notice[t : t + 3]) + " zz" for t in range(len(notice) - 2))
+    inserted = " ".join(notice[:6] + ["really", "truly"] + notice[6:])
+    docs = spark.createDataFrame([(1, scattered), (2, inserted), (3, " ".join(notice))], "doc_id long, text string")
+    found = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert found[1].labels == "" and found[1].score < 0.8
+    assert found[2].labels == "mit" and found[3].labels == "mit" and found[3].score == 1.0
