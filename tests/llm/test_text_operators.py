@@ -136,3 +136,17 @@ def test_scattered_trigrams_of_a_notice_are_no_license(spark):
     found = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
     assert found[1].labels == "" and found[1].score < 0.8
     assert found[2].labels == "mit" and found[3].labels == "mit" and found[3].score == 1.0
+
+
+def test_the_estimated_order_tries_fewer_rules(spark):
+    """On texts that one rule rejects, the estimated order tries fewer rules than the reverse of it."""
+    plain = "plain words that say nothing new at all but go on and on for long enough to pass every rule here"
+    texts = [("!! " + plain + " ") * 2 + "!! " * 20 for _ in range(30)] + [plain] * 10
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ordered = quality_rules.estimate_order(df, "text", quality_rules.RULES)
+    assert ordered[0].name == "exclamations"
+    tried = lambda order: sum(quality_rules.cascade(quality_rules.with_outputs(t), order)[1] for t in texts)
+    assert tried(ordered) < tried(ordered[::-1])
+    assert [quality_rules.cascade(quality_rules.with_outputs(t), ordered)[0] for t in texts] == [
+        quality_rules.cascade(quality_rules.with_outputs(t), ordered[::-1])[0] for t in texts
+    ]
