@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from complaintlens.functions import vectors as V
-from complaintlens.operators import embedding, packed, retrieval
+from complaintlens.operators import embedding, packed, pruned, retrieval
 from complaintlens.options import JobOptions
 from complaintlens.plans import inputs as I
 from complaintlens.plans import jobs
@@ -153,6 +153,15 @@ def topk_cosine_block(spark, folder):
     return rounded_score(hits)
 
 
+@query("topk_pruned", _TOP5)
+def topk_pruned(spark, folder):
+    """topk_cosine_batch over vectors clustered by pivots, reading only clusters whose bound reaches a k-th score."""
+    path = scratch_dir(spark, "clustered-vectors")
+    pruned.write_clustered(vectors(spark, folder), path, WIDTH, "vec_id", "embedding", pivots=16)
+    hits, _, _ = pruned.search_clustered(spark, path, label_questions(spark, folder), 5, WIDTH, "vec_id", "embedding")
+    return rounded_score(hits)
+
+
 @query("topk_packed", _TOP5)
 def topk_packed(spark, folder):
     """The same from vectors packed in float32 blocks: a float32 pass with an error bound, exact rescoring of candidates."""
