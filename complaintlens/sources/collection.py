@@ -66,8 +66,13 @@ def write_collection(
     if path:
         writer = writer.option("path", f"{path.rstrip('/')}/{fresh}")
     writer.saveAsTable(fresh)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    # The old table is put aside before the new one takes the name and dropped last: at no step is a written table lost.
+    aside = f"{name}_old_{uuid.uuid4().hex}" if spark.catalog.tableExists(name) else None
+    if aside:
+        spark.sql(f"ALTER TABLE {name} RENAME TO {aside}")
     spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+    if aside:
+        spark.sql(f"DROP TABLE {aside}")
 
 
 def _append(spark: SparkSession, rows: DataFrame, name: str, key: str) -> None:
