@@ -65,7 +65,10 @@ class BestHits:
         self.hits = pd.DataFrame({"q": np.array([], "int64"), "score": [], "id": []})
 
     def add(self, ids: pa.Array, vectors: np.ndarray) -> None:
-        """Takes in a batch, in blocks whose scores fit ``MAX_SCORES``."""
+        """Takes in a batch, in blocks whose scores fit ``MAX_SCORES``. A null id is refused: beside it, whole-number ids
+        would pass through pandas as floats and lose digits above 2^53."""
+        if ids.null_count:
+            raise ValueError("a vector without an id cannot be a hit")
         rows = max(1, MAX_SCORES // max(1, len(self.questions)))
         for start in range(0, len(vectors), rows):
             self._add_block(ids.slice(start, rows), vectors[start : start + rows])

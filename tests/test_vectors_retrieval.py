@@ -216,3 +216,15 @@ def test_injected_embedder_is_loaded_per_worker_and_normalised(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,), ("c",)], "t string").coalesce(1)
     rows = [r.embedding for r in embedding.embed(df, "t", Fixed, batch=2).collect()]
     assert rows[2] is None and np.allclose([r for r in rows if r], [[0.6, 0.8]] * 3)
+
+
+def test_large_ids_stay_exact_and_null_ids_are_refused(spark):
+    import pytest
+
+    big = [(2**53 + 1, [1.0, 0.0]), (2**60 + 7, [0.9, 0.1]), (3, [0.0, 1.0])]
+    table = spark.createDataFrame(big, "chunk_id long, embedding array<float>")
+    questions = spark.createDataFrame([(1, [1.0, 0.0])], "question_id long, question_vec array<double>")
+    assert [r.chunk_id for r in retrieval.retrieve(table, questions, 2, 2).orderBy("rank").collect()] == [2**53 + 1, 2**60 + 7]
+    nulls = spark.createDataFrame(big + [(None, [1.0, 0.0])], "chunk_id long, embedding array<float>")
+    with pytest.raises(Exception, match="without an id"):
+        retrieval.retrieve(nulls, questions, 2, 2).collect()
