@@ -141,3 +141,30 @@ def test_toxicity_learns_from_long_labelled_texts(spark):
     held = [r for r in found if r.held_out]
     assert held and sum(r.predicted == truth[r.doc_id] for r in held) >= 0.9 * len(held)
     assert 0 < sum(r.predicted for r in found) < len(found)
+
+
+def test_toxicity_scores_equal_a_plain_window_by_window_pass():
+    """Model.score (batched windows, cached word rows) against one forward pass per window with freshly made inputs."""
+    import numpy as np
+
+    from complaintlens.llm import recurrent, toxicity
+
+    rng = np.random.default_rng(3)
+    vocab = [f"w{i}" for i in range(60)] + ["vile", "scum"]
+    texts = [" ".join(rng.choice(vocab, n)) for n in (0, 1, 5, 63, 64, 65, 200, 500)] + [None, "  "]
+    model = toxicity.train([" ".join(rng.choice(vocab, 80)) + (" vile" * (i % 2)) for i in range(40)], np.array([i % 2 for i in range(40)], float), epochs=2)
+    got = model.score(texts)
+    hidden = toxicity.HIDDEN
+    for text, score in zip(texts, got):
+        words = toxicity.words_of(text)
+        best = -np.inf
+        for start in toxicity.window_starts(len(words)):
+            part = words[start : start + toxicity.WINDOW]
+            x = np.zeros((toxicity.WINDOW, 1, 6 * hidden), np.float32)
+            if part:
+                x[: len(part), 0] = model.project(model.inputs(part))
+            mask = np.zeros((toxicity.WINDOW, 1), np.float32)
+            mask[: len(part)] = 1
+            logit, _ = recurrent.forward(model.p, x[:, :, : 3 * hidden], x[:, :, 3 * hidden :], mask)
+            best = max(best, float(logit[0]))
+        assert abs(float(recurrent.sigmoid(np.array(best))) - score) < 1e-5
