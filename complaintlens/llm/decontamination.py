@@ -34,9 +34,11 @@ def _fingerprint(grams: DataFrame, keys: list[str], hash_col: str, weight_col: s
         count = F.shiftrightunsigned(f"lane{lane}", 32 * field).bitwiseAND(F.lit(0xFFFFFFFF))
         return F.when(2 * count > F.col("weight"), F.lit(1 << i if i < BITS - 1 else -(1 << (BITS - 1)))).otherwise(F.lit(0).cast("long"))
 
-    # The bits are disjoint, so the sum of their values is their union.
-    parts = [sum((bit(i) for i in range(32 * f + 1, 32 * f + 32)), bit(32 * f)) for f in range(2)]
-    return summed.select(*keys, parts[0].bitwiseOR(parts[1]).alias("fp"))
+    # The union of the 64 bits, as a balanced tree of ORs: a shallow expression keeps planning cheap for the driver.
+    parts = [bit(i) for i in range(BITS)]
+    while len(parts) > 1:
+        parts = [parts[j].bitwiseOR(parts[j + 1]) if j + 1 < len(parts) else parts[j] for j in range(0, len(parts), 2)]
+    return summed.select(*keys, parts[0].alias("fp"))
 
 
 def _blocks(fp: Column, blocks: int, variants: list[int]) -> Column:
