@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from complaintlens.functions import vectors as V
-from complaintlens.operators import embedding, packed, pruned, retrieval
+from complaintlens.operators import embedding, packed, pruned, retrieval, sampling
 from complaintlens.options import JobOptions
 from complaintlens.plans import inputs as I
 from complaintlens.plans import jobs
@@ -218,7 +218,11 @@ def retrieve_sources_lookup(spark, folder):
 
 @query(
     "self_retrieval",
-    """WITH sample AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0),
+    """WITH g AS (SELECT label, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY label),
+t AS (SELECT label, least(CAST(round_even(n / CAST(sum(n) OVER () AS DOUBLE) * 50.0::DOUBLE, 0) AS BIGINT), n) AS target FROM g),
+r AS (SELECT e.*, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42:', CAST(vec_id AS VARCHAR))), vec_id) AS rk
+  FROM embeddings e),
+sample AS (SELECT r.vec_id, embedding FROM r LEFT JOIN t USING (label) WHERE rk <= target OR vec_id % 50 = 0),
 scored AS (SELECT s.vec_id AS question_id, e.vec_id AS hit_id,
   round(list_cosine_similarity(e.embedding::DOUBLE[], s.embedding::DOUBLE[]), 12) AS score FROM sample s, embeddings e),
 best AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, hit_id) AS rk FROM scored)
@@ -226,9 +230,11 @@ SELECT question_id, hit_id, round(score, 6) AS score, hit_id = question_id AND s
 FROM best WHERE rk = 1""",
 )
 def self_retrieval(spark, folder):
-    """Every vector whose id is divisible by 50 asks for its best hit among all vectors."""
+    """Every vector whose id is divisible by 50, and beside them 50 stratified by label, ask for their best hit among all vectors."""
     stored = I.table(spark, folder, "embeddings")
-    return rounded_score(retrieval.self_retrieval(stored, stored.filter(F.col("vec_id") % 50 == 0), WIDTH, "vec_id"))
+    divisible = F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False))
+    others = sampling.stratified_sample(stored, "label", 50, "vec_id").filter(~divisible)
+    return rounded_score(retrieval.self_retrieval(stored, stored.filter(divisible).unionByName(others), WIDTH, "vec_id"))
 
 
 # --- embedding -------------------------------------------------------------

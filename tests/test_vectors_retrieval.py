@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from complaintlens.functions import vectors as V
 from complaintlens.operators import embedding, retrieval
+from complaintlens.plans import vector_queries
 
 WIDTH = 16
 
@@ -191,6 +192,15 @@ def test_self_retrieval(spark, random_vectors):
     assert len(rows) == 6 and all(r.found_itself for r in rows)
 
 
+def test_self_retrieval_query_asks_no_fewer_than_a_sample_of_50(spark, random_vectors, tmp_path):
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(random_vectors(120, 64))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = vector_queries.self_retrieval(spark, str(tmp_path)).collect()
+    asked = [r.question_id for r in found]
+    assert len(asked) == len(set(asked)) >= 50 and {0, 50, 100} <= set(asked)
+    assert all(r.found_itself for r in found)
+
+
 def test_hashed_embedder(spark):
     texts = [(1, "fee fee card"), (2, ""), (3, None), (4, "card")]
     df = spark.createDataFrame(texts, "id long, t string")
