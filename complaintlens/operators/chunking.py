@@ -8,12 +8,13 @@ works on streams too.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from complaintlens.functions.batches import text_slices
 from complaintlens.functions.text import has_text
 
 # Sizes in characters and the separators, in order of preference.
@@ -85,12 +86,14 @@ def splitter(
     separators = tuple(separators)
 
     @F.arrow_udf("array<string>")
-    def pieces(texts: pa.Array) -> pa.Array:
-        lists = [
-            split_text(text, size, overlap, separators) if text and text.strip() else []
-            for text in texts.to_pylist()
-        ]
-        return pa.array(lists, pa.list_(pa.string()))
+    def pieces(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            for some in text_slices(texts):
+                lists = [
+                    split_text(text, size, overlap, separators) if text and text.strip() else []
+                    for text in some.to_pylist()
+                ]
+                yield pa.array(lists, pa.list_(pa.string()))
 
     return pieces
 
@@ -110,10 +113,11 @@ def chunk_documents(
         *[F.col(c) for c in metadata_cols],
         split(F.col(text_col)).alias("_chunks"),
     )
+    # A plain explode would bring a filter on the size of the list, which is pushed below and cuts every text once more.
     exploded = listed.select(
-        "*", F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", "chunk_text")
+        "*", F.size("_chunks").alias("total_chunks"), F.posexplode_outer("_chunks").alias("chunk_index", "chunk_text")
     )
-    return exploded.select(
+    return exploded.filter(F.col("chunk_index").isNotNull()).select(
         F.concat_ws("_", "complaint_id", "chunk_index").alias("chunk_id"),
         "complaint_id",
         "chunk_index",

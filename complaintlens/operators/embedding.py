@@ -18,8 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from complaintlens.functions.batches import text_slices
+
 DEFAULT_WIDTH = 384
 ENCODE_BATCH = 64
+# Tokens whose buckets a worker remembers; each takes about 200 bytes.
+KNOWN_TOKENS = 50_000
 
 
 class Embedder(Protocol):
@@ -39,7 +43,7 @@ class HashedEmbedder:
 
     def __init__(self, width: int = DEFAULT_WIDTH) -> None:
         self.width = width
-        self._bucket = lru_cache(maxsize=200_000)(self._hash)
+        self._bucket = lru_cache(maxsize=KNOWN_TOKENS)(self._hash)
 
     def _hash(self, token: str) -> int:
         return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.width
@@ -68,13 +72,13 @@ def embed(
     @F.arrow_udf("array<float>")
     def vectors(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embedder = factory()
-        for texts in parts:
+        for texts in (some for part in parts for some in text_slices(part)):
             known = texts.drop_null().to_pylist()
             blocks = [
-                _unit_rows(np.asarray(embedder.embed(known[start : start + batch]), dtype="float64"))
+                _unit_rows(np.asarray(embedder.embed(known[start : start + batch]), dtype="float64")).astype("float32")
                 for start in range(0, len(known), batch)
             ]
-            found = np.concatenate(blocks).astype("float32") if blocks else np.zeros((0, 0), "float32")
+            found = np.concatenate(blocks) if blocks else np.zeros((0, 0), "float32")
             # One flat array of numbers; a null text takes none of them.
             missing = texts.is_null().to_numpy(zero_copy_only=False)
             ends = np.cumsum(~missing) * found.shape[1]

@@ -1,9 +1,13 @@
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from complaintlens.functions.batches import text_slices
+from complaintlens.operators import embedding
 from complaintlens.operators.chunking import chunk_documents, chunk_stats, split_text, splitter
 
 
@@ -104,3 +108,31 @@ def test_wrong_sizes_are_refused():
         splitter(10, 10)
     with pytest.raises(ValueError):
         splitter(0, 0)
+
+
+def test_text_slices_stay_small_and_whole():
+    texts = pa.array(["a" * 40, None, "", "b" * 70, "c" * 300, None, "d"])
+    slices = list(text_slices(texts, 100))
+    assert [len(x) for x in slices] == [3, 1, 3] and pa.concat_arrays(slices).equals(texts)
+    assert list(text_slices(pa.array([], pa.string()), 100)) == []
+
+
+def test_each_text_is_cut_once(spark):
+    rows = [(1, "word " * 300), (2, " "), (3, None), (4, "short one")]
+    chunks = chunk_documents(spark.createDataFrame(rows, "k long, t string"), "t", "k")
+    assert chunks._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    found = {(r.complaint_id, r.chunk_index, r.total_chunks): r.chunk_text for r in chunks.collect()}
+    wanted = split_text(rows[0][1])
+    assert found == {(1, i, len(wanted)): c for i, c in enumerate(wanted)} | {(4, 0, 1): "short one"}
+
+
+def test_large_texts_are_cut_and_embedded_in_small_parts(spark):
+    rows = [(i, f"word{i} and fee. " * 20_000) for i in range(6)]
+    df = spark.createDataFrame(rows, "k long, t string").coalesce(1)
+    vectors = embedding.embed(chunk_documents(df, "t", "k"), "chunk_text", embedding.hashed(16))
+    assert vectors._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
+    found = {(r.complaint_id, r.chunk_index): r.embedding for r in vectors.collect()}
+    pieces = {(k, i): c for k, t in rows for i, c in enumerate(split_text(t))}
+    assert found.keys() == pieces.keys()
+    plain = embedding.HashedEmbedder(16).embed([pieces[at] for at in found]).astype("float32")
+    assert np.allclose(np.array(list(found.values())), plain)
