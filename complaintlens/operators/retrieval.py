@@ -33,6 +33,8 @@ DEFAULT_K = 5
 MAX_QUESTION_BYTES = 32 * 1024 * 1024
 SCORE_DIGITS = 12
 MAX_SCORES = 8_000_000
+# Rows of an Arrow batch that are turned into doubles and scored at once.
+BLOCK_ROWS = 2_048
 
 
 def matrix_of(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -176,8 +178,9 @@ def _candidates(
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = BestHits(k, questions)
         for batch in batches:
-            if batch.num_rows:
-                found.add(batch.column(0), unit_matrix(batch.column(1), width))
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                block = batch.slice(start, BLOCK_ROWS)
+                found.add(block.column(0), unit_matrix(block.column(1), width))
         yield from _as_table(found, names, arrow).to_batches()
 
     return vectors.select(key, vector).mapInArrow(best, schema)

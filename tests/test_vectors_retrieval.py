@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +202,27 @@ def test_self_retrieval_query_asks_no_fewer_than_a_sample_of_50(spark, random_ve
     assert all(r.found_itself for r in found)
 
 
+def test_embedder_is_handed_long_texts_in_small_parts(spark):
+    class Counting:
+        def embed(self, texts):
+            return np.array([[1.0, len(texts)]] * len(texts))
+
+    df = spark.createDataFrame([(i, "x" * 100_000) for i in range(40)], "id long, t string").coalesce(1)
+    vectors = [r.embedding for r in embedding.embed(df, "t", Counting).collect()]
+    assert len(vectors) == 40 and max(round(b / a) for a, b in vectors) <= 11
+
+
+def test_search_scores_few_rows_of_a_batch_at_once(spark, random_vectors):
+    data = random_vectors(5_000, WIDTH)
+    stored = table(spark, data).coalesce(1)
+    questions = data[:3].astype("float64")
+    plain = retrieval.BestHits(4, retrieval.unit_matrix(pa.array(questions.tolist()), WIDTH))
+    plain.add(pa.array(range(5_000)), retrieval.unit_matrix(pa.array(data.tolist()), WIDTH))
+    hits = retrieval.retrieve(stored, asked(spark, questions), 4, WIDTH).collect()
+    wanted = {(q, i): s for q, i, s in zip(plain.hits["q"], plain.hits["id"], plain.hits["score"])}
+    assert {(r.question_id, r.chunk_id): r.score for r in hits} == pytest.approx(wanted) and retrieval.BLOCK_ROWS < 5_000
+
+
 def test_hashed_embedder(spark):
     texts = [(1, "fee fee card"), (2, ""), (3, None), (4, "card")]
     df = spark.createDataFrame(texts, "id long, t string")
