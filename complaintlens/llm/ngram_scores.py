@@ -4,17 +4,18 @@ The score of a word after another is count(pair) / count(pairs with that first w
 is, seen at least ``min_count`` times, and else ``backoff`` times count(pairs with that second word) / count(all pairs). A
 text starts with a start sign as its first word.
 
-The pairs of all texts are exploded. Count tables are aggregations with map-side combine: pairs, first words and second words,
-keyed by the whole words. Each distinct pair gets its score from the tables of its two words; the pairs of the texts are then
-joined to those scores by pair and summed per document. Keys are partitioned by hash, ``grams_per_part`` pairs a part. The
-``hot_pairs`` most frequent pairs and ``hot_words`` most frequent words are held by the driver (a list of fixed length) and
-broadcast, so a pair or word that a third of the corpus uses never lands in one task; the rest are joined by shuffle.
-Logarithms are summed as whole numbers (``SCALE`` per unit), so the order of the sum does not change a score.
+Words are counted with map-side combine as firsts and as seconds. The pairs of all texts are exploded and dealt once to hash
+partitions, ``grams_per_part`` pairs a part, where a window counts each pair; no table of pairs is built, written or joined.
+The ``hot_words`` most frequent words are held by the driver (a list of fixed length) and broadcast: a pair of two of them travels as
+one whole number, another as its whole words. Pairs with at least a ``hot_pairs``-th of all are counted beforehand with map-side
+combine, among the words that are as frequent, and stay with their texts, so a pair that a third of the corpus uses never lands in one
+task. A pair in the table then needs the count of its first word, another that of its second: from the hot words by broadcast, else
+by a join. Logarithms are summed as whole numbers (``SCALE`` per unit), so the order of the sum does not change a score.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from complaintlens.llm.words import lower_ascii, space_words
@@ -24,22 +25,8 @@ HOT_WORDS, HOT_PAIRS = 16_384, 4_096
 SCALE = 1 << 24
 # Stands for the word before the first: words never hold white space.
 START = " "
-
-
-def _hot_then_cold(left: DataFrame, table: DataFrame, keys: list[str], count: str, hot: int, parts: int) -> DataFrame:
-    """``left`` with the columns of ``table`` joined by ``keys``: the ``hot`` rows of largest ``count`` by broadcast, the rest by
-    a shuffle over ``parts`` hash partitions. Rows of ``left`` without a match are dropped (every key of ``left`` is in
-    ``table`` here)."""
-    ranked = table.orderBy(F.desc(count), *keys).limit(hot)
-    held = local_if_small(ranked, hot) if hot > 0 else None
-    if held is None:
-        return left.repartition(parts, *keys).join(table.repartition(parts, *keys), keys)
-    marked = held.withColumn("__hot", F.lit(True))
-    both = left.join(F.broadcast(marked), keys, "left")
-    found = both.filter(F.col("__hot").isNotNull()).drop("__hot")
-    rest = both.filter(F.col("__hot").isNull()).select(*left.columns)
-    cold = table.join(F.broadcast(held.select(*keys).withColumn("__hot", F.lit(True))), keys, "left_anti")
-    return found.unionByName(rest.repartition(parts, *keys).join(cold.repartition(parts, *keys), keys))
+# A hot word's number fits in so many bits.
+_BITS = 20
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -48,6 +35,31 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select("rid", F.explode(F.arrays_zip(before.alias("a"), F.col("w").alias("b"))).alias("p")).select("rid", "p.a", "p.b")
 
 
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """(word, n_first, n_second): how many pairs have the word as their first and as their second."""
+    placed = rows.filter(F.size("w") > 0).select(F.size("w").alias("n"), F.posexplode(F.concat(F.array(F.lit(START)), F.col("w"))).alias("at", "word"))
+    counted = {"n_first": F.col("at") < F.col("n"), "n_second": F.col("at") > 0}
+    return placed.groupBy("word").agg(*[F.sum(F.when(holds, 1).otherwise(0)).alias(name) for name, holds in counted.items()])
+
+
+def _frequent_pairs(pairs: DataFrame, counts: DataFrame, total: int, most: int) -> DataFrame:
+    """(a, b, n_both, n_first, n_second) of the pairs with at least a ``most``-th of all, held by the driver. Their words are at least
+    as frequent, so only pairs of such words are counted."""
+    least = total // most + 1 if most > 0 else total + 1
+    firsts = counts.filter(F.col("n_first") >= least).select(F.col("word").alias("a"), "n_first")
+    seconds = counts.filter(F.col("n_second") >= least).select(F.col("word").alias("b"), "n_second")
+    both = pairs.join(F.broadcast(firsts), "a").join(F.broadcast(seconds), "b")
+    found = both.groupBy("a", "b", "n_first", "n_second").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= least)
+    return local_if_small(found, max(1, most))
+
+
+def _value(min_count: int, backoff: float, total: int) -> Column:
+    """The score of a pair by n_both, n_first and n_second, as a whole number; null without the count it needs."""
+    known = F.log(F.col("n_both").cast("double")) - F.log(F.col("n_first").cast("double"))
+    unknown = (F.log(F.lit(float(backoff))) + F.log(F.col("n_second").cast("double"))) - F.log(F.lit(float(max(total, 1))))
+    return F.round(F.lit(float(SCALE)) * F.when(F.col("n_both") >= min_count, known).otherwise(unknown)).cast("long")
+
+
 def score_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = 2, backoff: float = 0.4, grams_per_part: int = 1_500_000,
     hot_words: int = HOT_WORDS, hot_pairs: int = HOT_PAIRS,
@@ -60,21 +72,38 @@ def score_documents(
     summed.
     """
     words = space_words(lower_ascii(F.col(text_col)))
+    hot_words = min(hot_words, 1 << _BITS)
     rows = written_once(docs.select(F.col(id_col).alias("id"), words.alias("w")).withColumn("rid", F.monotonically_increasing_id()), "lm-rows")
     pairs = _pairs(rows)
-    both = written_once(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_both")), "lm-pair-counts")
-    total = both.agg(F.sum("n_both")).first()[0] or 0
+    counts = written_once(_word_counts(rows), "lm-words")
+    total = counts.agg(F.sum("n_second")).first()[0] or 0
     parts = max(1, -(-total // grams_per_part))
-    firsts = both.groupBy("a").agg(F.sum("n_both").alias("n_first"))
-    seconds = both.groupBy("b").agg(F.sum("n_both").alias("n_second"))
-    scored = _hot_then_cold(both, firsts, ["a"], "n_first", hot_words, parts)
-    scored = _hot_then_cold(scored, seconds, ["b"], "n_second", hot_words, parts)
-    known = F.log(F.col("n_both").cast("double")) - F.log(F.col("n_first").cast("double"))
-    unknown = (F.log(F.lit(float(backoff))) + F.log(F.col("n_second").cast("double"))) - F.log(F.lit(float(max(total, 1))))
-    value: Column = F.when(F.col("n_both") >= min_count, known).otherwise(unknown)
-    pair_scores = written_once(scored.select("a", "b", "n_both", F.round(F.lit(float(SCALE)) * value).cast("long").alias("s")), "lm-pair-scores")
-    joined = _hot_then_cold(pairs, pair_scores, ["a", "b"], "n_both", hot_pairs, parts)
-    sums = joined.groupBy("rid").agg(F.sum("s").alias("total"))
+    value = _value(min_count, backoff, total)
+    held = local_if_small(counts.orderBy(F.desc(F.col("n_first") + F.col("n_second")), "word").limit(hot_words), hot_words)
+    hot = held.coalesce(1).withColumn("i", F.monotonically_increasing_id())
+    frequent = _frequent_pairs(pairs, counts, total, hot_pairs).select("a", "b", value.alias("s"))
+
+    named = pairs.join(F.broadcast(hot.select(F.col("word").alias("a"), F.col("i").alias("ai"))), "a", "left")
+    named = named.join(F.broadcast(hot.select(F.col("word").alias("b"), F.col("i").alias("bi"))), "b", "left")
+    named = named.join(F.broadcast(frequent), ["a", "b"], "left")
+    # Scored pairs lie with their text, pairs of hot words go by two numbers in one, the rest by their words.
+    key = F.when(F.col("s").isNotNull(), -1 - F.col("rid")).otherwise(F.shiftleft("ai", _BITS) + F.col("bi"))
+    dealt = named.select("rid", "s", key.alias("key"), *[F.when(key.isNull(), F.col(c)).alias(c) for c in ("a", "b")]).repartition(parts, "key", "a", "b")
+    same = Window.partitionBy("key", "a", "b")
+    known = F.col("n_both") >= min_count
+    # A pair that is in the table needs the count of its first word, another that of its second.
+    seen = dealt.withColumn("n_both", F.count(F.lit(1)).over(same)).select(
+        "rid", "s", "n_both", F.when(known, F.col("a")).otherwise(F.col("b")).alias("word"),
+        F.when(F.col("key") >= 0, F.when(known, F.shiftright("key", _BITS)).otherwise(F.col("key").bitwiseAND((1 << _BITS) - 1))).alias("i"),
+    )
+    seen = seen.join(F.broadcast(hot.select("i", F.col("n_first").alias("f1"), F.col("n_second").alias("s1"))), "i", "left")
+    seen = seen.join(F.broadcast(hot.select("word", F.col("n_first").alias("f2"), F.col("n_second").alias("s2"))), "word", "left")
+    seen = seen.withColumns({"n_first": F.coalesce("f1", "f2"), "n_second": F.coalesce("s1", "s2")})
+    cold = F.when(F.col("s").isNull() & F.col("n_first").isNull(), F.col("word"))
+    scored = seen.select("rid", F.coalesce("s", value).alias("s"), cold.alias("word"), F.when(cold.isNotNull(), F.col("n_both")).alias("n_both"))
+    summed = written_once(scored.groupBy("rid", "word", "n_both").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("times")), "lm-sums")
+    rare = summed.filter(F.col("word").isNotNull()).drop("s").join(counts, "word").select("rid", (value * F.col("times")).alias("s"))
+    sums = summed.filter(F.col("word").isNull()).select("rid", "s").unionByName(rare).groupBy("rid").agg(F.sum("s").alias("total"))
     n_words = F.size("w").cast("long")
     log_score = F.coalesce(F.col("total"), F.lit(0)).cast("double") / SCALE
     out = rows.join(sums, "rid", "left").select(F.col("id").alias(id_col), n_words.alias("n_words"), log_score.alias("log_score"))

@@ -119,6 +119,23 @@ def test_components(spark):
     assert found == {**dict.fromkeys(range(1, 41), 1), **dict.fromkeys(range(100, 160), 100), 199: 199, 200: 199}
 
 
+def test_language_model_stores_no_table_of_pairs(spark, monkeypatch):
+    sizes, store = {}, ngram_scores.written_once
+
+    def counted(df, purpose):
+        out = store(df, purpose)
+        sizes[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_scores, "written_once", counted)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, 300)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert ngram_scores.score_documents(docs).count() == 20
+    n_pairs = len({p for t in texts for p in zip([None, *t.split()], t.split())})
+    assert n_pairs > 2_000 and max(sizes.values()) <= 61
+
+
 @pytest.mark.parametrize("options", [{}, {"hot_words": 16, "hot_pairs": 8, "grams_per_part": 500}])
 def test_scores_equal_brute_force(spark, options):
     rng = np.random.default_rng(5)
