@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from complaintlens.llm import boosting, components, decontamination, near_duplicates, ngram_scores, quality, repeats, suffixes, toxicity
 
@@ -150,6 +152,38 @@ def test_scores_equal_brute_force(spark, options):
     assert [r.log_score for r in found] == pytest.approx(expected, abs=1e-4)
 
 
+@pytest.mark.parametrize("options", [{}, {"hot_words": 0, "hot_pairs": 0}, {"hot_words": 12, "min_count": 1}, {"hot_words": 40, "hot_pairs": 3, "min_count": 3}])
+def test_scores_of_frequent_and_rare_pairs(spark, options):
+    rng = np.random.default_rng(8)
+    blanks = [" ", "\t", "\n", "\x0b", "\f", "\r", "  "]
+    texts = ["".join(f"É{int(x)}B" + blanks[int(x) % 7] for x in rng.zipf(1.3, 90) % 500) for _ in range(40)]
+    texts += ["Of the " * 60, " of\u00a0the of", "", " \n", None, *["Rare couple"] * 2, "the end"]
+    pairs = [list(zip([None, *w], w, strict=False)) for w in (re.findall(r"[^\x20\x09-\x0D]+", (t or "").replace("B", "b").replace("O", "o").replace("R", "r")) for t in texts)]
+    both, first, second = Counter(p for ps in pairs for p in ps), Counter(p[0] for ps in pairs for p in ps), Counter(p[1] for ps in pairs for p in ps)
+    total, least = sum(both.values()), options.get("min_count", 2)
+    expected = [sum(math.log(both[p] / first[p[0]]) if both[p] >= least else math.log(0.4 * second[p[1]] / total) for p in ps) for ps in pairs]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = ngram_scores.score_documents(docs, **options).orderBy("doc_id").collect()
+    assert [r.n_words for r in found] == [len(ps) for ps in pairs]
+    assert [r.log_score for r in found] == pytest.approx(expected, abs=1e-4)
+
+
+def test_language_model_leaves_little_on_disk(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.2, 500) % 50_000) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def on_disk():
+        found = manager.getAllFiles()
+        return {found.apply(i).getPath(): found.apply(i).length() for i in range(found.size())}
+
+    before = on_disk()
+    assert ngram_scores.score_documents(docs).agg(F.sum("log_score")).first()[0] < 0
+    written = sum(n for path, n in on_disk().items() if path not in before)
+    assert written < 8 * 200_000
+
+
 def test_similar_windows_are_found(spark):
     rng = np.random.default_rng(6)
     words = [f"v{i}" for i in range(400)]
