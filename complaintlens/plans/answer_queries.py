@@ -16,7 +16,7 @@ from complaintlens.options import JobOptions
 from complaintlens.plans import inputs as I
 from complaintlens.plans import jobs
 from complaintlens.plans.registry import query
-from complaintlens.session import scratch_dir
+from complaintlens.session import scratch_dir, written_once
 
 WIDTH = 128
 TOP_K = 3
@@ -344,6 +344,8 @@ def chunk_answers(spark, folder):
     chunks = chunking.chunk_documents(
         I.cleaned(spark, folder), "clean_narrative", "complaint_id", ["product_category", "company"]
     )
+    # Cut in one stage and embedded in the next, so that a task has one Python worker at a time and not both.
+    chunks = written_once(chunks, "chunks")
     path = scratch_dir(spark, "chunk-index")
     embedding.embed(chunks, "chunk_text", embedding.hashed(WIDTH)).write.parquet(path)
     told = jobs.answer(spark.read.parquet(path), questions(spark, folder), OPTIONS, clean_questions=True)

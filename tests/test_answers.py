@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from complaintlens.functions import display as D
 from complaintlens.operators import evaluation, prompts
 from complaintlens.options import JobOptions
-from complaintlens.plans import jobs
+from complaintlens.plans import answer_queries, jobs
 
 SOURCES = "question_id long, rank int, chunk_text string, product_category string, company string, score double"
 
@@ -186,3 +186,21 @@ def test_options_and_organisation_reach_the_generator(spark):
     told = jobs.answer(index, asked, JobOptions(vector_width=2, max_answer_tokens=99, temperature=0.1), One, generator, organisation="Linden")
     rows = {r.question_id: r for r in told.collect()}
     assert rows[1].answer == "99 0.1 True" and rows[2].answer is None and rows[1].sources[0].chunk_id == "a"
+
+
+def test_chunks_are_cut_and_embedded_in_stages_of_their_own(spark, tmp_path, monkeypatch):
+    text = "The bank charged a fee twice and nobody answered my letters about it. " * 12
+    rows = [(i, f"Case {i}. {text}", "en", "bank") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"N{i}") for i in range(25)], "n_nationkey long, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(1, "Who charged a fee?")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plans, embed = [], answer_queries.embedding.embed
+
+    def watched(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return embed(df, *args)
+
+    monkeypatch.setattr(answer_queries.embedding, "embed", watched)
+    found = {r.question_id: r for r in answer_queries.chunk_answers(spark, str(tmp_path)).collect()}
+    assert found[1].status == "ok" and len(found[1].chunk_ids.split(",")) == 3 and found[-2].status == "empty"
+    assert plans and not any("ArrowEvalPython" in plan for plan in plans)
